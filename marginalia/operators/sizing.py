@@ -1,0 +1,18 @@
+"""Size checks that decide between a broadcast side and a partitioned plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Text size of a frame, from one aggregation over it."""
+    width = F.length(F.to_json(F.struct(*df.columns)))
+    return int(df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0])
+
+
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return measured_bytes(df) <= limit
