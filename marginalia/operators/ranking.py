@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
@@ -22,7 +23,7 @@ def with_scores(candidates: DataFrame, scores: DataFrame, keys: list[str]) -> Da
 def with_scorer(candidates: DataFrame, query: str, text: str, scorer: Callable) -> DataFrame:
     """Attach ``rerank_score`` from a user function over batches of (query, text) pairs."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, texts in batches:
             yield pd.Series(scorer(list(queries), list(texts)), dtype="float64")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marginalia.plans import registry
-from marginalia.plans import retrieval_plans  # noqa: F401
+from marginalia.plans import note_plans, retrieval_plans  # noqa: F401
 
 
 def queries():
