@@ -73,3 +73,98 @@ def order_notes(t: Tables) -> DataFrame:
     return t.orders.select(
         "o_orderkey", cat("orders/", k, ".md").alias("note_path"), content.alias("content")
     )
+
+
+def daily_md(t: Tables) -> DataFrame:
+    """(o_orderkey, note_path, content): one dated note per order with every kind of line,
+    including lines that must be ignored."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.to_date("o_orderdate")
+    mark = F.when(F.col("o_orderstatus") == "F", "x").when(F.col("o_orderstatus") == "P", "/").otherwise(" ")
+
+    def iso(d: Column) -> Column:
+        return F.date_format(d, "yyyy-MM-dd")
+
+    topics = F.array(*[F.lit(w) for w in TOPICS])
+    content = cat(
+        "# Daily\n- [ ] outside tasks\n## Focus\n- Focus on customer ", c % 50, "\n- \n## Notes\n- Note about the ",
+        F.get(topics, (k % 7).cast("int")), " of order ", k, "\nplain line\n## Tasks\n- [ ] Loose end ", c, "\n### ",
+        F.col("o_orderpriority"), "\n- [/] Start review of ", c, " (due: ", iso(F.date_add(day, 10)), ")\n#### Area ", c % 5,
+        "\n- [x] Close file, part ", c, " ! (due: bad)\n-[ ] Follow up customer ", c, " (due: ",
+        iso(F.date_add(day, (k % 30).cast("int"))), ")\n### Other\n* not a task\n- [", mark, "] Call \"customer\" ", c,
+        "\n## Events\n- 9:30 — Meeting with ", c, "\nno bullet\n- All day at ", k % 7, " (through ",
+        iso(F.date_add(day, 3)), ")\n- 14:05 - Review ", c, "\n## Tasks\n- [ ] Second section ", k,
+        "\n## Focus\n- Repeat focus\n",
+    )
+    return t.orders.select(
+        "o_orderkey", cat("v", k, "/00_Daily/", iso(day), ".md").alias("note_path"), content.alias("content")
+    )
+
+
+TOPICS = ["garden", "budget", "travel", "server", "health", "music", "report"]
+
+DAILY = """
+ord AS (
+  SELECT o_orderkey AS k, o_custkey AS c, o_orderdate::DATE AS d, o_orderpriority AS pr,
+    CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS st,
+    'v' || o_orderkey || '/00_Daily/' || strftime(o_orderdate, '%Y-%m-%d') || '.md' AS note_path
+  FROM orders),
+dtask AS (
+  SELECT k, note_path, d AS source_date, '' AS category, '' AS sub_project, 9 AS line_number, 'open' AS status,
+    NULL::DATE AS due_date, 'Loose end ' || c AS text, 'loose end ' || c AS normalized FROM ord
+  UNION ALL SELECT k, note_path, d, pr, '', 11, 'in_progress', d + 10, 'Start review of ' || c, 'start review of ' || c FROM ord
+  UNION ALL SELECT k, note_path, d, pr, 'Area ' || (c % 5), 13, 'done', NULL, 'Close file, part ' || c || ' ! (due: bad)',
+    'close file part ' || c || ' due bad' FROM ord
+  UNION ALL SELECT k, note_path, d, pr, 'Area ' || (c % 5), 14, 'open', d + (k % 30)::INTEGER,
+    'Follow up customer ' || c, 'follow up customer ' || c FROM ord
+  UNION ALL SELECT k, note_path, d, 'Other', '', 17, st, NULL, 'Call "customer" ' || c, 'call customer ' || c FROM ord),
+devent AS (
+  SELECT k, note_path, d AS date, 19 AS line_number, '9:30' AS time, NULL::DATE AS end_date, 'Meeting with ' || c AS title FROM ord
+  UNION ALL SELECT k, note_path, d, 21, '', d + 3, 'All day at ' || (k % 7) FROM ord
+  UNION ALL SELECT k, note_path, d, 22, '14:05', NULL, 'Review ' || c FROM ord),
+dctx AS (
+  SELECT k, note_path, d AS date, 'focus' AS section, 3 AS line_number, 'Focus on customer ' || (c % 50) AS item FROM ord
+  UNION ALL SELECT k, note_path, d, 'notes', 6, 'Note about the ' ||
+    ['garden', 'budget', 'travel', 'server', 'health', 'music', 'report'][(k % 7 + 1)::INTEGER] || ' of order ' || k FROM ord
+  UNION ALL SELECT k, note_path, d, 'focus', 26, 'Repeat focus' FROM ord)"""
+
+
+def order_tasks(t: Tables) -> DataFrame:
+    """Orders as task appearances: the customer is the task, priority and segment its place."""
+    k = F.col("o_orderkey")
+    day = F.to_date("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "in_progress").otherwise("open")
+    due = F.when(k % 3 != 0, F.date_add(day, (k % 40).cast("int")))
+    segment = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("sub_project"))
+    return t.orders.join(segment, "o_custkey").select(
+        cat("Follow up customer ", F.col("o_custkey"), "!").alias("text"),
+        status.alias("status"),
+        day.alias("source_date"),
+        F.col("o_orderpriority").alias("category"),
+        "sub_project",
+        k.alias("line_number"),
+        due.alias("due_date"),
+        cat("follow up customer ", F.col("o_custkey")).alias("normalized"),
+        F.date_format(day, "yyyy-MM-dd").alias("note_path"),
+    )
+
+
+APPEARANCES = """
+app AS (
+  SELECT 'Follow up customer ' || o_custkey || '!' AS text,
+    CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS status,
+    o_orderdate::DATE AS source_date, o_orderpriority AS category, c_mktsegment AS sub_project, o_orderkey AS line_number,
+    CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE + (o_orderkey % 40)::INTEGER END AS due_date,
+    'follow up customer ' || o_custkey AS normalized, strftime(o_orderdate, '%Y-%m-%d') AS note_path
+  FROM orders JOIN customer ON c_custkey = o_custkey)"""
+
+AGGREGATE = """
+task AS (
+  SELECT *, status = 'done' AS completed,
+    CASE WHEN status = 'done' THEN 0 ELSE DATE '2001-08-01' - first_date END::INTEGER AS days_open
+  FROM (
+    SELECT category, sub_project, normalized, arg_min(text, (source_date, line_number)) AS text,
+      arg_max(status, (source_date, line_number)) AS status,
+      arg_max(due_date, (source_date, line_number)) FILTER (due_date IS NOT NULL) AS due_date,
+      min(source_date) AS first_date, max(source_date) AS latest_date, count(*)::BIGINT AS appearance_count
+    FROM app GROUP BY category, sub_project, normalized))"""
