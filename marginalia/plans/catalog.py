@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marginalia.plans import registry
-from marginalia.plans import calendar_plans, note_plans, retrieval_plans, task_plans  # noqa: F401
+from marginalia.plans import calendar_plans, note_plans, retrieval_plans, task_plans, usage_plans  # noqa: F401
 
 
 def queries():
