@@ -1,9 +1,17 @@
-"""All registered queries."""
+"""All registered queries: importing a plan module registers its queries."""
 
 from __future__ import annotations
 
-from marginalia.plans import registry
-from marginalia.plans import calendar_plans, note_plans, retrieval_plans, task_plans, usage_plans  # noqa: F401
+from marginalia.plans import (  # noqa: F401
+    calendar_plans,
+    insight_plans,
+    note_plans,
+    registry,
+    retrieval_plans,
+    routing_plans,
+    task_plans,
+    usage_plans,
+)
 
 
 def queries():

@@ -168,3 +168,108 @@ task AS (
       arg_max(due_date, (source_date, line_number)) FILTER (due_date IS NOT NULL) AS due_date,
       min(source_date) AS first_date, max(source_date) AS latest_date, count(*)::BIGINT AS appearance_count
     FROM app GROUP BY category, sub_project, normalized))"""
+
+
+def metadata(t: Tables) -> DataFrame:
+    """Extracted metadata per document: entities name its source, language and at times the
+    next note's title."""
+    i = F.col("doc_id")
+
+    def entity(text, kind: str, confidence) -> Column:
+        return F.struct(text.alias("text"), F.lit(kind).alias("entity_type"), confidence.alias("confidence"))
+
+    entities = F.array(
+        entity(F.col("source"), "project", F.lit(0.9)),
+        entity(F.when(i % 2 == 1, F.upper("lang")).otherwise(F.col("lang")), "language", 0.5 + (i % 5) / 10.0),
+        entity(F.when(i % 4 == 0, (i + 1).cast("string")), "note", 0.6 + (i % 3) / 10.0),
+    )
+    priority = F.get(F.array(F.lit("high"), F.lit("medium"), F.lit("low"), F.lit(None)), (i % 4).cast("int"))
+    return t.documents.select(
+        "doc_id",
+        cat(F.col("source"), "/", i, ".md").alias("note_path"),
+        F.when(i % 6 == 0, "").otherwise(cat("Summary of ", i)).alias("summary"),
+        F.array(cat(" ", F.upper("lang")), cat("Phase ", i % 7), cat("group ", i % 13)).alias("key_phrases"),
+        F.filter(entities, lambda e: e["text"].isNotNull()).alias("entities"),
+        F.array(F.struct(cat("Do ", i).alias("text"), F.lit(0.8).alias("confidence"), priority.alias("priority"))).alias(
+            "action_items"
+        ),
+    )
+
+
+METADATA = """
+md AS (SELECT doc_id, source || '/' || doc_id || '.md' AS note_path, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'Summary of ' || doc_id END AS summary,
+    ['high', 'medium', 'low', NULL][(doc_id % 4 + 1)::INTEGER] AS priority FROM documents),
+ent AS (
+  SELECT doc_id, source || '/' || doc_id || '.md' AS note_path, 0 AS pos, source AS text, 'project' AS entity_type, 0.9::DOUBLE AS confidence FROM documents
+  UNION ALL SELECT doc_id, source || '/' || doc_id || '.md', 1, CASE WHEN doc_id % 2 = 1 THEN upper(lang) ELSE lang END, 'language',
+    0.5 + (doc_id % 5) / 10.0::DOUBLE FROM documents
+  UNION ALL SELECT doc_id, source || '/' || doc_id || '.md', 2, (doc_id + 1)::VARCHAR, 'note', 0.6 + (doc_id % 3) / 10.0::DOUBLE FROM documents WHERE doc_id % 4 = 0),
+phr AS (
+  SELECT doc_id, 0 AS pos, ' ' || upper(lang) AS phrase FROM documents UNION ALL SELECT doc_id, 1, 'Phase ' || (doc_id % 7) FROM documents
+  UNION ALL SELECT doc_id, 2, 'group ' || (doc_id % 13) FROM documents)"""
+
+
+def replies_json(t: Tables) -> DataFrame:
+    """(doc_id, note_path, raw): extraction replies; every 7th is cut off, every 11th fenced."""
+    i = F.col("doc_id")
+    good = cat(
+        '{"summary": "Summary of ', i, '", "key_phrases": ["', F.col("lang"), '", "phase ', i % 7,
+        '"], "entities": [{"text": "', F.col("source"), '", "entity_type": "project", "confidence": 0.9}, "stray", {"text": "x', i,
+        '"}], "dates": [{"text": "due 3/', i % 28 + 1, '/24"}, {"text": "then", "normalized_date": "2024-01-02", "date_type": "deadline",',
+        ' "confidence": 0.7}, {"text": "some day"}], "action_items": [{"text": "Do ', i, '", "priority": "high"}, 5, {"text": "later"}]}',
+    )
+    raw = (
+        F.when(i % 7 == 0, F.substring(good, 1, 25))
+        .when(i % 11 == 0, cat("```json\n", good, "\n```"))
+        .otherwise(good)
+    )
+    return t.documents.select("doc_id", cat(F.col("source"), "/", i, ".md").alias("note_path"), raw.alias("raw"))
+
+
+SEGMENT_TYPES = ["daily_note", "note", "project", "concept", "living_document", "event", "mystery"]
+
+
+def segments(t: Tables) -> DataFrame:
+    """Events as classified captures: type, existing note, living document, tasks."""
+    i, u = F.col("event_id"), F.col("user_id")
+    kinds = F.array(*[F.lit(k) for k in SEGMENT_TYPES])
+    return t.events.select(
+        "event_id",
+        "ts",
+        F.get(kinds, (i % 7).cast("int")).alias("note_type"),
+        F.when(u % 5 == 0, cat("Note ", u)).alias("existing_note"),
+        F.when(i % 2 == 0, "Grocery List").when(i % 3 == 0, "Recipe Ideas").otherwise("Unknown").alias("living_doc_name"),
+        (F.get_json_object("props", "$.k").cast("int") % 3).alias("n_tasks"),
+        F.get(F.array(F.lit("Work"), F.lit("Personal"), F.lit("Hobby")), (u % 3).cast("int")).alias("category"),
+        F.get(F.array(F.lit("Health"), F.lit("Yoga"), F.lit("Chores"), F.lit("")), (i % 4).cast("int")).alias("sub_project"),
+        F.when(u % 4 == 0, "??? / !!").otherwise(cat("Idea: no. ", u % 10, "?")).alias("title"),
+    )
+
+
+SEGMENTS = """
+seg AS (
+  SELECT event_id, ts, ['daily_note', 'note', 'project', 'concept', 'living_document', 'event', 'mystery'][(event_id % 7 + 1)::INTEGER] AS note_type,
+    CASE WHEN user_id % 5 = 0 THEN 'Note ' || user_id END AS existing_note,
+    CASE WHEN event_id % 2 = 0 THEN 'Grocery List' WHEN event_id % 3 = 0 THEN 'Recipe Ideas' ELSE 'Unknown' END AS living_doc_name,
+    (props->>'k')::INTEGER % 3 AS n_tasks, ['Work', 'Personal', 'Hobby'][(user_id % 3 + 1)::INTEGER] AS category,
+    ['Health', 'Yoga', 'Chores', ''][(event_id % 4 + 1)::INTEGER] AS sub_project,
+    CASE WHEN user_id % 4 = 0 THEN 'Untitled' ELSE 'Idea no ' || (user_id % 10) END AS safe_title FROM events),
+ttl AS (
+  SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN '10_Notes' ELSE '30_Concepts' END AS folder, 'Note ' || user_id AS title FROM events WHERE user_id % 4 <> 1),
+routed AS (
+  SELECT seg.*, h.folder AS have,
+    CASE WHEN h.folder IS NOT NULL THEN 'append'
+      WHEN note_type = 'living_document' AND living_doc_name = 'Grocery List' THEN 'living_replace'
+      WHEN note_type = 'living_document' AND living_doc_name = 'Recipe Ideas' THEN 'living_append'
+      WHEN note_type = 'event' THEN 'event' WHEN note_type = 'daily_note' THEN 'daily' ELSE 'create' END AS route,
+    CASE WHEN h.folder IS NOT NULL THEN h.folder WHEN note_type IN ('event', 'daily_note') THEN '00_Daily'
+      WHEN note_type = 'project' THEN '20_Projects' WHEN note_type = 'concept' THEN '30_Concepts' ELSE '10_Notes' END AS folder,
+    n_tasks > 0 AND note_type NOT IN ('daily_note', 'living_document', 'event') AS tasks_to_daily
+  FROM seg LEFT JOIN (SELECT title, min(folder) AS folder FROM ttl GROUP BY title) h ON h.title = seg.existing_note)"""
+
+
+def existing_titles(t: Tables) -> DataFrame:
+    u = F.col("user_id")
+    return t.events.where(u % 4 != 1).select(
+        F.when(u % 3 == 0, "10_Notes").otherwise("30_Concepts").alias("folder"), cat("Note ", u).alias("title")
+    ).distinct()
