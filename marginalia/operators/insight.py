@@ -164,7 +164,9 @@ def tag_suggestions(related: DataFrame, metadata: DataFrame, pool: int = 20, kee
     best = top_k(scored, "note_path", [F.desc("score"), F.asc("_first")], pool, "_r")
     own = metadata.select("note_path", F.explode("key_phrases").alias("p")).select("note_path", X.strip(F.lower("p")).alias("tag")).distinct()
     kept = top_k(best.join(own, ["note_path", "tag"], "left_anti"), "note_path", [F.asc("_r")], keep)
-    confidence = F.round(F.least(F.col("score") / F.greatest(F.col("_n"), F.lit(1)), F.lit(1.0)), 3)
+    # nine places first: that drops the noise of the division, so halves round up everywhere
+    share = F.round(F.least(F.col("score") / F.greatest(F.col("_n"), F.lit(1)), F.lit(1.0)), 9)
+    confidence = F.round(share, 3)
     sources = F.transform(F.slice("_src", 1, 5), lambda s: s["target_path"])
     return kept.join(sizes, "note_path").select(
         "note_path", "tag", confidence.alias("confidence"), sources.alias("sources"), "rk"

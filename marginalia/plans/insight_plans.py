@@ -156,7 +156,7 @@ def link_suggestions(t: Tables) -> DataFrame:
     pool AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, first) AS r FROM sc QUALIFY r <= 20),
     kept AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY r)::INTEGER AS rk FROM pool
       WHERE NOT EXISTS (SELECT 1 FROM phr WHERE phr.doc_id = pool.src AND lower(trim(phrase)) = pool.tag) QUALIFY rk <= 10)
-    SELECT note_path, tag, round(least(score::DOUBLE / (SELECT count(*) FROM rel WHERE rel.src = kept.src), 1.0::DOUBLE)::DECIMAL(18, 8), 3)::DOUBLE AS confidence,
+    SELECT note_path, tag, round(least(score::DOUBLE / (SELECT count(*) FROM rel WHERE rel.src = kept.src), 1.0::DOUBLE)::DECIMAL(18, 9), 3)::DOUBLE AS confidence,
       sources, rk FROM kept""",
 )
 def tag_suggestions(t: Tables) -> DataFrame:
