@@ -9,6 +9,7 @@ from marginalia.plans import (  # noqa: F401
     registry,
     retrieval_plans,
     routing_plans,
+    stream_plans,
     task_plans,
     usage_plans,
 )
