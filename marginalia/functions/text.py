@@ -27,6 +27,11 @@ def _accent_table() -> tuple[str, str]:
 _MARKED, _BASE = _accent_table()
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove all leading and trailing whitespace, newlines and tabs included."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

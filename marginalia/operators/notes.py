@@ -29,11 +29,13 @@ def front_matter(content: Column) -> Column:
             ).alias("value"),
         ),
     )
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == p["key"]),
-    )
-    return F.map_from_entries(last)
+
+    def last_of_key(ps: Column) -> Column:
+        return F.filter(
+            ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda later: later["key"] == p["key"])
+        )
+
+    return F.map_from_entries(X.bind(pairs, last_of_key))
 
 
 def body(content: Column) -> Column:

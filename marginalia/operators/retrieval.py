@@ -19,6 +19,7 @@ from marginalia.functions import constants as K
 from marginalia.functions import text as X
 from marginalia.functions.vectors import TopK, matrix
 from marginalia.operators.sizing import BROADCAST_BYTES
+from marginalia.session import literal_rows, materialize
 
 VECTOR_BLOCK_ROWS = 20_000
 
@@ -63,6 +64,10 @@ def tokenized(corpus: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return corpus.select(key, *parts).withColumn("dl", length.cast("long"))
 
 
+# a term no text can hold: one such row per chunk carries the chunk's length
+_CHUNK = "\x00chunk"
+
+
 def postings(
     corpus: DataFrame, key: str, fields: list[str], longest: int = 1, vocabulary: DataFrame | None = None
 ) -> DataFrame:
@@ -80,18 +85,35 @@ def postings(
     return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(corpus: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    return tokenized(corpus, key, fields).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")
+def query_index(corpus: DataFrame, key: str, fields: list[str], terms: DataFrame, longest: int) -> DataFrame:
+    """Index rows for the terms of a batch of queries, plus one length row per chunk.
+
+    Written once to the shared folder: lengths, document counts and scores all read it, so
+    the corpus text is read and cut into words a single time. Rows lie together by chunk, so
+    that the sum of a chunk's terms is nearly complete before it is shuffled.
+    """
+    toks = tokenized(corpus, key, fields)
+    grams = F.concat(*[_grams(F.col(f"_t{i}"), longest) for i in range(len(fields))], F.array(F.lit(_CHUNK)))
+    wanted = terms.select("term").distinct().union(literal_rows(terms.sparkSession, [(_CHUNK,)], ["term"]))
+    rows = (
+        toks.select(key, "dl", F.explode(grams).alias("term"))
+        .join(wanted, "term", "left_semi")
+        .repartition(F.col(key))
+        .groupBy(key, "dl", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
     )
+    return materialize(rows, "postings")
+
+
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """(n_docs, avg_dl) from the length rows of a query index."""
+    return index.where(F.col("term") == _CHUNK).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def term_stats(posting: DataFrame, stats: DataFrame) -> DataFrame:
+def term_stats(index: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf); the idf never falls below a small positive floor."""
     n = stats.select("n_docs").scalar()
-    # counting on tf keeps this side's columns equal to the scoring side's, so that both
-    # read the same shuffle
-    df = posting.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    df = index.where(F.col("term") != _CHUNK).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return df.select("term", "df", F.when(idf > 0, idf).otherwise(F.lit(K.BM25_IDF_FLOOR)).alias("idf"))
 
@@ -113,9 +135,9 @@ def bm25_topk(
 ) -> DataFrame:
     """(query, key, score, rk) by BM25 over all fields of the chunk."""
     terms = query_terms(queries, query_id, text)
-    posting = postings(corpus, key, fields, phrase_length(terms), terms)
-    stats = corpus_stats(corpus, key, fields)
-    weighted = terms.join(term_stats(posting, stats), "term")
+    index = query_index(corpus, key, fields, terms, phrase_length(terms))
+    stats = corpus_stats(index)
+    weighted = terms.join(term_stats(index, stats), "term")
     avg_dl = stats.select("avg_dl").scalar()
     tf = F.col("tf").cast("double")
     part = (
@@ -126,7 +148,7 @@ def bm25_topk(
         / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avg_dl))
     )
     scored = (
-        posting.join(weighted, "term")
+        index.join(weighted, "term")
         .groupBy(query_id, key)
         .agg(F.round(F.sum(part), 6).alias("score"))
     )

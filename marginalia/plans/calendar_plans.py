@@ -10,6 +10,7 @@ from marginalia.operators import calendar, daily, reports, tasks, weekly
 from marginalia.plans.fixtures import AGGREGATE, APPEARANCES, DAILY, cat, daily_md, order_tasks
 from marginalia.plans.registry import Tables, query
 from marginalia.plans.task_plans import AS_OF, DUE_LABEL, aggregated, iso, sql_iso
+from marginalia.session import materialize
 
 WEEK = "2001-07-02"
 
@@ -206,9 +207,11 @@ def weekly_tasks(t: Tables) -> DataFrame:
     SELECT wk AS week_key, part, k1, k2, line FROM lines""",
 )
 def weekly_review(t: Tables) -> DataFrame:
-    """All weekly notes as ordered lines, one job for all weeks."""
+    """All weekly notes as ordered lines, one job for all weeks. The parsed rows are written
+    once: every part of the review reads them."""
     notes = daily_md(t)
-    return weekly.review_lines(daily.context(notes), daily.tasks(notes), AS_OF)
+    items = materialize(daily.context(notes), "context")
+    return weekly.review_lines(items, materialize(daily.tasks(notes), "tasks"), AS_OF)
 
 
 # --- projects -------------------------------------------------------------------------

@@ -70,7 +70,7 @@ def order_notes(t: Tables) -> DataFrame:
         " write a line here, with the reason and with the name of the person spoken to.",
     )
     content = cat("# Order ", k, "\n", long_a, "\n\n## Short\nToo short to keep.\n\n### Status\n", long_b, "\n")
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey", cat("orders/", k, ".md").alias("note_path"), content.alias("content")
     )
 
@@ -96,7 +96,7 @@ def daily_md(t: Tables) -> DataFrame:
         iso(F.date_add(day, 3)), ")\n- 14:05 - Review ", c, "\n## Tasks\n- [ ] Second section ", k,
         "\n## Focus\n- Repeat focus\n",
     )
-    return t.orders.select(
+    return t.spread("orders").select(
         "o_orderkey", cat("v", k, "/00_Daily/", iso(day), ".md").alias("note_path"), content.alias("content")
     )
 

@@ -225,22 +225,16 @@ def source_scan(t: Tables) -> DataFrame:
     """Pages written as one file each, then scanned, fingerprinted and read back."""
     root = shared_dir(t.spark, "scan")
     page = F.col("page_id")
-    t.pages.select((page % 5).alias("site"), page.alias("page"), F.col("html").alias("value")).write.partitionBy(
+    t.spread("pages").select((page % 5).alias("site"), page.alias("page"), F.col("html").alias("value")).write.partitionBy(
         "site", "page"
     ).text(root)
     found = files.scan(t.spark, root, "*.txt", excludes=["site=3/*"])
-    prints = files.fingerprint(found).select("note_path", "hash")
-    return (
-        files.readable(found)
-        .join(found.select("note_path", "length"), "note_path")
-        .join(prints, "note_path")
-        .select(
-            F.regexp_replace("note_path", "/[^/]*$", "").alias("note_dir"),
-            F.regexp_extract("note_path", "site=([0-9]+)", 1).alias("site"),
-            F.col("length").alias("n_bytes"),
-            "hash",
-            F.substring("content", 1, 40).alias("head"),
-        )
+    return found.where(F.is_valid_utf8("content")).select(
+        F.regexp_replace("note_path", "/[^/]*$", "").alias("note_dir"),
+        F.regexp_extract("note_path", "site=([0-9]+)", 1).alias("site"),
+        F.col("length").alias("n_bytes"),
+        files.content_hash().alias("hash"),
+        F.substring(files.note_text(), 1, 40).alias("head"),
     )
 
 

@@ -65,3 +65,11 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: list[str]) -> DataFrame:
+    """A few constant rows as part of the plan, so that Spark knows how small they are."""
+    from pyspark.sql import functions as F
+
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(schema, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

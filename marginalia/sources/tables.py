@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import constants as K
+from marginalia.session import literal_rows
 
 
 def point_lookup(table: DataFrame, key: str, value) -> DataFrame:
@@ -27,9 +28,7 @@ def counts(**tables: DataFrame) -> DataFrame:
 
 
 def pricing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        K.PRICING, "provider string, model string, input_rate double, output_rate double"
-    )
+    return literal_rows(spark, K.PRICING, ["provider", "model", "input_rate", "output_rate"])
 
 
 def categories(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -37,8 +36,9 @@ def categories(spark: SparkSession, path: str | None = None) -> DataFrame:
 
     Unreadable settings give the defaults too.
     """
-    fallback = spark.createDataFrame(
-        list(K.DEFAULT_CATEGORIES.items()), "category string, sub_projects array<string>"
+    rows = [(name, ",".join(subs)) for name, subs in K.DEFAULT_CATEGORIES.items()]
+    fallback = literal_rows(spark, rows, ["category", "subs"]).select(
+        "category", F.filter(F.split("subs", ","), lambda s: s != "").alias("sub_projects")
     )
     if path is None:
         return fallback
