@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
 from marginalia.functions.vectors import TopK, matrix
-from marginalia.operators.sizing import BROADCAST_BYTES
 from marginalia.session import literal_rows, materialize
 
+# the query matrix is shared with every task up to this size; beyond it both sides are blocked
+BROADCAST_BYTES = 64 * 1024 * 1024
 VECTOR_BLOCK_ROWS = 20_000
 
 

@@ -66,6 +66,11 @@ def route(segments: DataFrame, titles: DataFrame) -> DataFrame:
     )
 
 
+def write_routes(routed: DataFrame, path: str) -> None:
+    """Write all routes in one job, one folder per route."""
+    routed.write.mode("errorifexists").partitionBy("route").parquet(path)
+
+
 def file_names(created: DataFrame, existing: DataFrame, order: str) -> DataFrame:
     """Give every created note a safe file title not used in its folder.
 

@@ -131,6 +131,11 @@ def latency_table(timings: DataFrame) -> DataFrame:
     return stages.unionByName(total.withColumn("stage", F.lit("total")).select("stage", "last_ms", "mean_ms"))
 
 
+def axis_ceiling(value):
+    """A round upper end for a cost axis: the next multiple of five cents, ten cents when empty."""
+    return F.when(value <= 0, 0.10).otherwise(F.round(F.ceil(F.round(value / 0.05, 6)) * 0.05, 2))
+
+
 def index_stats(tracker: DataFrame) -> DataFrame:
     return tracker.agg(
         F.count(F.lit(1)).alias("file_count"),

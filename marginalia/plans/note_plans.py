@@ -390,3 +390,16 @@ def dup_by_hash(t: Tables) -> DataFrame:
 def title_inventory(t: Tables) -> DataFrame:
     titled = t.documents.select(F.col("lang").alias("note_folder"), cat("Doc ", F.col("doc_id")).alias("note_title"))
     return notes.title_inventory(titled)
+
+
+@query(
+    "dated_notes",
+    f"""WITH {NOTES} SELECT note_path, CASE WHEN doc_id % 7 = 0 THEN '2024-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') ELSE doc_id::VARCHAR END AS title,
+      source AS folder, doc_id % 7 = 0 AS dated FROM notes""",
+)
+def dated_notes(t: Tables) -> DataFrame:
+    """Display title and top folder of a path, and whether its file name is dated."""
+    path = F.col("note_path")
+    return notes_md(t).select(
+        "note_path", X.title_of_path(path).alias("title"), X.folder_of_path(path).alias("folder"), files.dated(path).alias("dated")
+    )

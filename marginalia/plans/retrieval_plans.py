@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as X
 from marginalia.operators import evaluate, ranking, retrieval
 from marginalia.plans.registry import Tables, query
+from marginalia.session import shared_dir
+from marginalia.sources import tables
 
 FIELDS = ["doc_id", "source", "lang", "text"]
 
@@ -21,7 +23,9 @@ def corpus(t: Tables) -> DataFrame:
 
 
 def vectors(t: Tables) -> DataFrame:
-    return t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    """Vectors of known chunks; a vector without its chunk is not a candidate."""
+    vec = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vec.join(t.documents.select("doc_id"), "doc_id", "left_semi")
 
 
 def questions(t: Tables) -> DataFrame:
@@ -83,7 +87,8 @@ VEC = """
 vs AS (
   SELECT q.vec_id AS item_id, c.vec_id AS doc_id,
          round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS similarity
-  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id, embeddings c),
+  FROM embeddings q JOIN benchmark b ON b.item_id = q.vec_id,
+    (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) c),
 den AS (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rk FROM vs
   QUALIFY rk <= 30),
@@ -250,6 +255,19 @@ def eval_report(t: Tables) -> DataFrame:
     return evaluate.averages(metric_rows(t))
 
 
+@query(
+    "eval_report_sink",
+    f"""WITH {METRICS} SELECT 'hybrid' AS model, 'run-1' AS run_at, item_id, recall_at_5, mrr FROM metrics""",
+)
+def eval_report_sink(t: Tables) -> DataFrame:
+    """Per-question results written as one run of the report folder and read back."""
+    path = shared_dir(t.spark, "eval")
+    rows = metric_rows(t).select("item_id", "recall_at_5", "mrr")
+    tables.write_eval_report(rows, path, "hybrid", "run-1")
+    schema = "item_id long, recall_at_5 double, mrr double, model string, run_at string"
+    return t.spark.read.schema(schema).json(path)
+
+
 @query(
     "eval_by_tag",
     f"""WITH {METRICS},

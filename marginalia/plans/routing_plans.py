@@ -28,6 +28,19 @@ def route_segments(t: Tables) -> DataFrame:
     return routing.route(segments(t), existing_titles(t)).select("event_id", "route", "folder", "tasks_to_daily")
 
 
+@query(
+    "route_writes",
+    f"""WITH {SEGMENTS} SELECT route, folder, count(*)::BIGINT AS n, count(*) FILTER (tasks_to_daily)::BIGINT AS n_with_tasks FROM routed GROUP BY ALL""",
+)
+def route_writes(t: Tables) -> DataFrame:
+    """Captures written by route in one job, then counted from what was written."""
+    path = shared_dir(t.spark, "routes")
+    routing.write_routes(routing.route(segments(t), existing_titles(t)), path)
+    return t.spark.read.parquet(path).groupBy("route", "folder").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("tasks_to_daily").alias("n_with_tasks")
+    )
+
+
 @query(
     "file_names",
     f"""WITH {SEGMENTS},

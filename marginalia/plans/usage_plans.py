@@ -130,6 +130,17 @@ def cost_alert(t: Tables) -> DataFrame:
     return U.cost_alert(usage(t), AS_OF)
 
 
+@query(
+    "cost_axis",
+    f"""WITH {USAGE}, p AS (SELECT provider, ts::DATE AS day, round(sum(cost), 6)::DOUBLE AS c FROM us GROUP BY ALL)
+    SELECT provider, CASE WHEN max(c) <= 0 THEN 0.10 ELSE round(ceil(round(max(c) / 0.05, 6)) * 0.05, 2) END::DOUBLE AS axis_top FROM p GROUP BY provider""",
+)
+def cost_axis(t: Tables) -> DataFrame:
+    """Upper end of each provider's daily cost chart."""
+    top = U.daily_cost(usage(t)).groupBy("provider").agg(F.max("cost").alias("c"))
+    return top.select("provider", U.axis_ceiling(F.col("c")).alias("axis_top"))
+
+
 _LABEL = "CASE WHEN event_type = 'error' THEN 'UNKNOWN' ELSE event_type END"
 
 
