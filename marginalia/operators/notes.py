@@ -56,11 +56,13 @@ def note_date(path: Column, meta: Column) -> Column:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """(note_path, content) -> notes with title, body, folder, date and front matter."""
+    """(note_path, content, ...) -> notes with title, body, folder, date and front matter.
+    Other columns are passed on."""
     raw = X.unify_newlines(F.col("content"))
+    extra = [c for c in files.columns if c not in ("note_path", "content")]
     return (
-        files.select("note_path", raw.alias("_raw"))
-        .select("note_path", front_matter(F.col("_raw")).alias("frontmatter"), body(F.col("_raw")).alias("body"))
+        files.select("note_path", raw.alias("_raw"), *extra)
+        .select("note_path", *extra, front_matter(F.col("_raw")).alias("frontmatter"), body(F.col("_raw")).alias("body"))
         .select(
             "note_path",
             note_title(F.col("note_path"), F.col("frontmatter"), F.col("body")).alias("note_title"),
@@ -68,6 +70,7 @@ def parse(files: DataFrame) -> DataFrame:
             note_date(F.col("note_path"), F.col("frontmatter")).alias("note_date"),
             "frontmatter",
             "body",
+            *extra,
         )
     )
 

@@ -13,6 +13,7 @@ from marginalia.functions import constants as K
 from marginalia.functions import dates as D
 from marginalia.functions import text as X
 from marginalia.operators import tasks as T
+from marginalia.session import materialize
 
 # fixed values: table head of a task report
 TABLE_HEAD = ["| Status | Task | Added | Due | Timeline |", "|:---:|------|:---:|:---:|:---:|"]
@@ -40,16 +41,23 @@ def open_report(tasks: DataFrame, as_of: str) -> DataFrame:
     still = tasks.where("status != 'done'").withColumn(
         "_cat", F.coalesce(F.nullif("category", F.lit("")), F.lit("Uncategorized"))
     )
-    cats = still.select("_cat").distinct()
-    subs = still.select("_cat", "sub_project").distinct()
+    # headings come from the few (category, sub-project) pairs, each once
+    subs = still.groupBy("_cat", "sub_project").agg(F.lit(0).alias("_"))
+    cats = subs.groupBy("_cat").agg(F.lit(0).alias("_"))
+    heads = F.array(
+        F.struct(F.lit(1).alias("kind"), F.when(F.col("sub_project") != "", F.concat(F.lit("### "), "sub_project")).alias("line")),
+        F.struct(F.lit(2).alias("kind"), F.lit(TABLE_HEAD[0]).alias("line")),
+        F.struct(F.lit(3).alias("kind"), F.lit(TABLE_HEAD[1]).alias("line")),
+    )
+    sub_lines = subs.select("_cat", "sub_project", F.inline(heads)).where("line IS NOT NULL")
     status = F.when(F.col("status") == "in_progress", "In Progress").otherwise("Open")
     due = F.coalesce(D.iso(F.col("due_date")), F.lit("9999-99-99"))
     cat, sub = F.col("_cat"), F.col("sub_project")
     return (
         _line(cats, 0, cat, empty, empty, empty, F.concat(F.lit("## "), cat))
-        .unionByName(_line(subs.where("sub_project != ''"), 1, cat, sub, empty, empty, F.concat(F.lit("### "), sub)))
-        .unionByName(_line(subs, 2, cat, sub, empty, empty, F.lit(TABLE_HEAD[0])))
-        .unionByName(_line(subs, 3, cat, sub, empty, empty, F.lit(TABLE_HEAD[1])))
+        .unionByName(
+            sub_lines.select(cat.alias("k1"), sub.alias("k2"), "kind", empty.alias("k3"), empty.alias("k4"), "line")
+        )
         .unionByName(_line(still, 4, cat, sub, due, D.iso(F.col("first_date")), _task_row(as_of, status)))
     )
 
@@ -204,9 +212,11 @@ def mentions(projects: DataFrame, notes: DataFrame, as_of: str, days: int = 30)
 
 def project_sections(matches: DataFrame, tasks: DataFrame, found: DataFrame, as_of: str) -> DataFrame:
     """Generated lines of every project with matching open tasks or recent mentions:
-    (project, part, k1, k2, kind, k3, k4, line)."""
+    (project, part, k1, k2, line). Matched tasks and mentions are written once, since every
+    part of a section reads them."""
     empty = F.lit("")
-    still = tasks.where(~F.col("completed")).join(matches, "sub_project")
+    still = materialize(tasks.where(~F.col("completed")).join(matches, "sub_project"), "project-tasks")
+    found = materialize(found, "project-mentions")
     due = F.coalesce(D.iso(F.col("due_date")), F.lit("9999-99-99"))
     active = still.select("project").union(found.select("project")).distinct()
 

@@ -298,6 +298,7 @@ def project_mentions(t: Tables) -> DataFrame:
     UNION ALL SELECT project, 12, lpad((DATE '9999-12-31' - date)::VARCHAR, 9, '0'), note_path || ' ' || lpad(line_number::VARCHAR, 9, '0'), line FROM found""",
 )
 def render_project_sections(t: Tables) -> DataFrame:
-    matches = reports.match_projects(segments(t), aggregated(t).select("sub_project").distinct())
+    tasks_now = materialize(aggregated(t), "tasks")
+    matches = reports.match_projects(segments(t), tasks_now.select("sub_project").distinct())
     found = reports.mentions(segments(t), visits(t), AS_OF)
-    return reports.project_sections(matches, aggregated(t), found, AS_OF)
+    return reports.project_sections(matches, tasks_now, found, AS_OF)

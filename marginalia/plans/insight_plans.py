@@ -13,7 +13,7 @@ from marginalia.operators.changes import delete, upsert
 from marginalia.plans.fixtures import METADATA, cat, metadata, replies_json
 from marginalia.plans.note_plans import STATES, states
 from marginalia.plans.registry import Tables, query
-from marginalia.session import shared_dir
+from marginalia.session import materialize, shared_dir
 from marginalia.sources import tables
 
 
@@ -118,6 +118,11 @@ def related(t: Tables) -> DataFrame:
     return insight.related_notes(vectors.select("note_path", "embedding"), chunks, metadata(t))
 
 
+def stored_related(t: Tables) -> DataFrame:
+    """Related notes written down: suggestions read them several times."""
+    return materialize(related(t), "related")
+
+
 @query(
     "related_notes",
     f"""WITH {RELATED} SELECT note_path, target_path, similarity, rk,
@@ -143,7 +148,7 @@ def related_notes(t: Tables) -> DataFrame:
       PARTITION BY note_path ORDER BY confidence DESC, kind, o1, o2, target_path, anchor)::INTEGER AS rk FROM u QUALIFY rk <= 10""",
 )
 def link_suggestions(t: Tables) -> DataFrame:
-    return insight.link_suggestions(related(t), metadata(t))
+    return insight.link_suggestions(stored_related(t), metadata(t))
 
 
 @query(
@@ -160,7 +165,7 @@ def link_suggestions(t: Tables) -> DataFrame:
       sources, rk FROM kept""",
 )
 def tag_suggestions(t: Tables) -> DataFrame:
-    return insight.tag_suggestions(related(t), metadata(t)).withColumn("sources", F.array_join("sources", ","))
+    return insight.tag_suggestions(stored_related(t), metadata(t)).withColumn("sources", F.array_join("sources", ","))
 
 
 # --- replies --------------------------------------------------------------------------

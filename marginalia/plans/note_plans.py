@@ -10,7 +10,7 @@ from marginalia.functions.splitting import window_pieces
 from marginalia.operators import changes, notes, ranking
 from marginalia.plans.fixtures import NOTES, cat, notes_md, order_notes
 from marginalia.plans.registry import Tables, query
-from marginalia.session import shared_dir
+from marginalia.session import materialize, shared_dir
 from marginalia.sources import notes as files
 
 SECTIONS = (
@@ -191,9 +191,7 @@ def link_resolve(t: Tables) -> DataFrame:
 )
 def linked_context(t: Tables) -> DataFrame:
     """Question i has documents 3i to 3i+3 as ranked candidates; their links lead on."""
-    body = notes_md(t).join(t.documents.select("doc_id", "text"), "doc_id")
-    named = notes.parse(body.select("note_path", "content")).select("note_path", "note_title", "body")
-    rows = body.select("doc_id", "note_path", "text").join(named, "note_path")
+    rows = notes.parse(notes_md(t).join(t.documents.select("doc_id", "text"), "doc_id"))
     asked = t.benchmark.select("item_id", F.posexplode(F.sequence(F.col("item_id") * 3, F.col("item_id") * 3 + 3)).alias("p", "doc_id"))
     ranked = asked.join(rows, "doc_id").select(
         "item_id", (F.col("p") + 1).alias("rk"), "note_path", "note_title", F.col("body").alias("chunk_text")
@@ -312,7 +310,7 @@ def change_summary(t: Tables) -> DataFrame:
 def tracker_ops(t: Tables) -> DataFrame:
     current, tracked = states(t)
     tracker = tracked.withColumn("indexed_at", F.lit("run-1")).withColumn("chunk_count", F.lit(1).cast("long"))
-    found = changes.classify(current, tracked)
+    found = materialize(changes.classify(current, tracked), "changes")
     counts = current.select("note_path", F.lit(2).alias("chunk_count"))
     return changes.apply_to_tracker(tracker, found, current, counts, "run-2")
 
@@ -325,7 +323,7 @@ def tracker_ops(t: Tables) -> DataFrame:
 def incremental_index(t: Tables) -> DataFrame:
     """Only rows of changed notes are rebuilt; the others stay as they were."""
     current, tracked = states(t)
-    found = changes.classify(current, tracked)
+    found = materialize(changes.classify(current, tracked), "changes")
     stored = tracked.select("note_path", F.lit("run-1").alias("version"))
     todo = found.where(F.col("change").isin("new", "modified"))
     fresh = current.join(todo, "note_path", "left_semi").select("note_path", F.lit("run-2").alias("version"))

@@ -10,6 +10,7 @@ from marginalia.functions import text as X
 from marginalia.operators import daily, reports, tasks
 from marginalia.plans.fixtures import AGGREGATE, APPEARANCES, DAILY, cat, daily_md, order_tasks
 from marginalia.plans.registry import Tables, query
+from marginalia.session import materialize
 
 AS_OF = "2001-08-01"
 TASKS = f"WITH {APPEARANCES},{AGGREGATE}"
@@ -206,9 +207,8 @@ def render_completed_report(t: Tables) -> DataFrame:
 )
 def task_report_read(t: Tables) -> DataFrame:
     """The open report read back into desired statuses and due dates, last line per task."""
-    lines = reports.open_report(aggregated(t), AS_OF).select(
-        F.struct("k1", "k2", "kind", "k3", "k4", "line").alias("line_no"), "line"
-    )
+    written = materialize(reports.open_report(aggregated(t), AS_OF), "report")
+    lines = written.select(F.struct("k1", "k2", "kind", "k3", "k4", "line").alias("line_no"), "line")
     return reports.read_statuses(lines).join(reports.read_due_dates(lines), "normalized")
 
 
@@ -264,7 +264,8 @@ def state_sync(t: Tables) -> DataFrame:
       (SELECT count(DISTINCT note_path) FROM syn WHERE status_changed OR due_changed)::BIGINT AS notes_updated FROM agg""",
 )
 def sync_summary(t: Tables) -> DataFrame:
-    return tasks.sync_summary(tasks.sync_state(order_tasks(t), desired(t)), AS_OF)
+    synced = materialize(tasks.sync_state(order_tasks(t), desired(t)), "synced")
+    return tasks.sync_summary(synced, AS_OF)
 
 
 UPDATES = """
