@@ -43,9 +43,22 @@ def without(messages: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def sessions(activity: DataFrame, gap: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Runs of activity per user with no pause of ``gap`` or more. Works on streams too."""
-    return (
-        activity.groupBy(key, F.session_window(ts, gap).alias("_w"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(key, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "n")
-    )
+    """Runs of activity per user with no pause of ``gap`` or more. Works on streams too.
+
+    In batch, runs are formed per user and hour first; only those short runs meet per user,
+    so a user with very much activity is not gathered row by row.
+    """
+
+    def runs(df: DataFrame, keys: list, start: str, length, n) -> DataFrame:
+        return (
+            df.groupBy(*keys, F.session_window(start, length).alias("_w"))
+            .agg(n.alias("n"))
+            .select(key, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("session_end"), "n")
+        )
+
+    if activity.isStreaming:
+        return runs(activity, [key], ts, gap, F.count(F.lit(1)))
+    hourly = runs(activity, [key, F.date_trunc("hour", ts)], ts, gap, F.count(F.lit(1)))
+    micros = F.unix_micros("session_end") - F.unix_micros("session_start")
+    length = F.concat(micros.cast("string"), F.lit(" microseconds"))
+    return runs(hourly, [key], "session_start", length, F.sum("n"))

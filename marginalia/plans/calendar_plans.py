@@ -174,7 +174,7 @@ def recurring_topics(t: Tables) -> DataFrame:
       arg_max(status, (source_date, line_number)) AS status FROM app GROUP BY ALL""",
 )
 def weekly_tasks(t: Tables) -> DataFrame:
-    return weekly.week_tasks(order_tasks(t), AS_OF).select("week_key", *tasks.KEY, "status")
+    return weekly.week_tasks(order_tasks(t)).select("week_key", *tasks.KEY, "status")
 
 
 @query(

@@ -8,14 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings every job relies on: UTC days, and runtime re-planning that splits
-# skewed join partitions and merges small ones.
+# Runtime settings every job relies on: UTC days, runtime re-planning that splits skewed
+# join partitions and merges small ones, and sessions merged before they are shuffled.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
