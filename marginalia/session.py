@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on: UTC days, runtime re-planning that splits skewed
@@ -21,6 +23,8 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    # task functions travel with the job, so executors need no copy of this package
+    cloudpickle.register_pickle_by_value(sys.modules["marginalia"])
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -39,7 +43,7 @@ def local_session(name: str, cores: int = 8, memory: str = "8g") -> SparkSession
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
+    spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
