@@ -102,14 +102,14 @@ def test_small_text_rules(spark):
         X.snippet(F.lit("x" * 201)).alias("long"),
         X.snippet(F.lit("x" * 200)).alias("fit"),
         X.task_key(F.lit("Call  Bob's, shop! (due: 2024-01-01)")).alias("key"),
-        X.project_key(F.lit("Second  Brain.md")).alias("project"),
+        X.project_key(F.lit("Garden  Shed.md")).alias("project"),
         X.token_count_label(F.lit(1_250_000)).alias("m"),
         X.token_count_label(F.lit(999)).alias("n"),
         X.cost_label(F.lit(0.009)).alias("c"),
         X.content_words(F.lit("The new Garden is on 3 paths, an ox")).alias("w"),
     ).first()
     assert (row.s, row.long, row.fit) == ("a", "x" * 200 + "...", "x" * 200)
-    assert (row.key, row.project, row.m, row.n, row.c) == ("call bobs shop", "secondbrain", "1.3M", "999", "$0.00")
+    assert (row.key, row.project, row.m, row.n, row.c) == ("call bobs shop", "gardenshed", "1.3M", "999", "$0.00")
     assert row.w == ["garden", "paths"]
 
 
