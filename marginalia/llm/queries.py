@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import linededup, mixing, quality
+from marginalia.llm import decontam, jaccard, linededup, mixing, pii, quality, secrets
 from marginalia.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,49 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+LINKS_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s
+  FROM worded
+), shingles AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.s
+"""
+
+
+@_register("op1_ngram_jaccard", LINKS_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link_classes(_table(spark, folder, "documents"))
+
+
+@_register("op2_secret_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda x: x["kind"].isin(*secrets.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in secrets.BASE_KINDS],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.pos, u.line,
@@ -56,6 +99,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_register("op6_decontamination")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 @_register("op7_quality_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(_table(spark, folder, "documents"))
@@ -101,6 +149,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@_register("op10_pii")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, folder, "documents").select("doc_id", "text"))
+    spelled = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE_KINDS))
+    count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in pii.BASE_KINDS],
+        F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("pii")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
