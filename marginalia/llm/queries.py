@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, jaccard, linededup, mixing, pii, quality, secrets
+from marginalia.llm import chat, decontam, jaccard, linededup, mixing, pii, quality, secrets, toxicity
 from marginalia.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_register("op3_chat_repair")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair(_table(spark, folder, "conversations"))
+
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.pos, u.line,
@@ -99,6 +104,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@_register("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @_register("op6_decontamination")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
