@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import chat, decontam, jaccard, linededup, mixing, pii, quality, secrets, toxicity
+from marginalia.llm import chat, decontam, jaccard, licences, linededup, mixing, pii, quality, secrets, toxicity
 from marginalia.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_register("op8_license_scan")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "pages"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
