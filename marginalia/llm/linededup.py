@@ -260,7 +260,7 @@ def _answers(batches):
                 docs.append(owners[lost])
                 lines.append(h1[lost])
         if docs:
-            yield pa.RecordBatch.from_arrays([_long(np.concatenate(docs)), _long(np.concatenate(lines))], ["_doc", "_line"])
+            yield pa.RecordBatch.from_arrays([_long(np.concatenate(docs)), _long(np.concatenate(lines))], ["doc", "line"])
 
 
 def _kept_lines(hot_row, min_chars: int):
@@ -287,7 +287,8 @@ def _kept_lines(hot_row, min_chars: int):
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, hot_share: int = HOT_SHARE) -> DataFrame:
-    """All columns of ``docs`` with the kept text as ``text``, and n_lines and n_dropped.
+    """All columns of ``docs`` with the kept text as ``text``, and n_lines and n_dropped, which
+    replace columns of those names.
 
     A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased. Keys of
     at least ``min_chars`` code points found in at least ``min_docs`` rows lose all their lines
@@ -304,14 +305,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     n_shards = max(-(-n_repeated // SHARD_ENTRIES), spark.sparkContext.defaultParallelism)
     shards = shards_of(repeated.where(F.col("n_docs") < hot_at), n_shards).withColumn("probes", F.lit(None).cast("binary"))
 
-    owner, text = docs["doc_id"].cast("long"), docs["text"].cast("binary")
+    owner, text = F.col("doc_id").cast("long"), F.col("text").cast("binary")
     probes = docs.select(owner, text).mapInArrow(_probes(hot_row, min_chars, n_shards), "shard long, probes binary")
     together = shards.unionByName(probes, allowMissingColumns=True).repartition("shard")
-    lost = together.sortWithinPartitions("shard", F.col("probes").isNotNull()).mapInArrow(_answers, "_doc long, _line long")
-    lost = lost.groupBy("_doc").agg(F.collect_set("_line").alias("_lost"))
-    joined = docs.join(lost, F.coalesce(owner, F.lit(NO_KEEPER)) == F.col("_doc"), "left")
-    done = joined.withColumn("_kept", _kept_lines(hot_row, min_chars)(owner, text, F.col("_lost")))
+    lost = together.sortWithinPartitions("shard", F.col("probes").isNotNull()).mapInArrow(_answers, "doc long, line long")
+    lost = lost.groupBy("doc").agg(F.collect_set("line").alias("lost"))
+    # the columns of docs travel in one struct, so their names cannot clash with those here
+    rows = docs.select(owner.alias("owner"), F.struct("*").alias("row"))
+    joined = rows.join(lost, F.coalesce("owner", F.lit(NO_KEEPER)) == F.col("doc"), "left")
+    done = joined.select("row", _kept_lines(hot_row, min_chars)("owner", F.col("row.text").cast("binary"), "lost").alias("kept"))
     return done.select(
-        *[F.col("_kept.text").alias(c) if c == "text" else F.col(c) for c in docs.columns],
-        F.col("_kept.n_lines").alias("n_lines"), F.col("_kept.n_dropped").alias("n_dropped"),
+        *[F.col("kept.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        F.col("kept.n_lines").alias("n_lines"), F.col("kept.n_dropped").alias("n_dropped"),
     )

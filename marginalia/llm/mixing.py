@@ -123,22 +123,16 @@ def emit(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, cap: float = CAP)
     the order of their texts.
     """
     keys = ["doc_id", "source", "size"]
-    plan = mix(docs, seed, weights, cap).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in keys], "_copies", "_rows")
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    same = F.col("_doc_id").eqNullSafe(sized["doc_id"]) & F.col("_source").eqNullSafe(sized["source"])
-    joined = sized.join(plan, same & (F.col("_size") == F.col("_words")))
-    return _dealt(joined).select(*[F.col(c) for c in docs.columns])
-
-
-def _dealt(joined: DataFrame) -> DataFrame:
-    """Repeat each row; where rows share their keys, numbers within the keys deal out the sum."""
-    single = joined.where("_rows = 1").withColumn("_mine", F.col("_copies"))
-    shared = joined.where("_rows > 1").withColumn(
-        "_key", F.md5(F.concat_ws("|", F.col("_doc_id").cast("string"), "_source", F.col("_size").cast("string")))
-    )
-    dealt = ranked(shared, "_key", ["text"])
-    base, rest = F.floor(F.col("_copies") / F.col("_rows")), F.col("_copies") % F.col("_rows")
-    dealt = dealt.withColumn("_mine", base + F.when(F.col("rank_in_group") < rest, 1).otherwise(0))
-    both = single.unionByName(dealt.drop("_key", "rank_in_group"))
-    return both.where("_mine > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine").cast("int"))))
+    plan = mix(docs, seed, weights, cap).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n_rows"))
+    plan = plan.select(*[F.col(k).alias(f"plan_{k}") for k in keys], "copies", "n_rows")
+    # the columns of docs travel in one struct, so their names cannot clash with those here
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
+    same = F.col("plan_doc_id").eqNullSafe(F.col("doc_id")) & F.col("plan_source").eqNullSafe(F.col("source"))
+    joined = sized.join(plan, same & (F.col("plan_size") == F.col("size")))
+    single = joined.where("n_rows = 1").select("row", F.col("copies").alias("mine"))
+    key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source", F.col("size").cast("string")))
+    shared = joined.where("n_rows > 1").select("row", "copies", "n_rows", key.alias("key"), F.col("row.text").alias("text"))
+    base, rest = F.floor(F.col("copies") / F.col("n_rows")), F.col("copies") % F.col("n_rows")
+    mine = base + F.when(F.col("rank_in_group") < rest, 1).otherwise(0)
+    both = single.unionByName(ranked(shared, "key", ["text"]).select("row", mine.alias("mine"))).where("mine > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("mine").cast("int")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])

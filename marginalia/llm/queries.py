@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marginalia.llm import chat, decontam, jaccard, licences, linededup, mixing, pii, quality, secrets, toxicity
 from marginalia.session import configure
 
@@ -100,7 +101,7 @@ FROM marked GROUP BY doc_id
 
 @_register("op4_line_dedup", LINES_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    done = linededup.dedup_lines(_table(spark, folder, "documents"))
+    done = linededup.dedup_lines(_table(spark, folder, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -182,7 +183,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -92,8 +92,9 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """
     configure(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
+    # the columns of docs travel in one struct, so their names cannot clash with those here
     parts = (
-        docs.withColumn("_assign", F.filter(_spans(text, ASSIGN, "assign", 2), lambda x: x["inner"] >= 6))
+        docs.select(F.struct("*").alias("row"), "text").withColumn("_assign", F.filter(_spans(text, ASSIGN, "assign", 2), lambda x: x["inner"] >= 6))
         .withColumn("_access", F.filter(_spans(text, ACCESS, "access"), lambda x: x["inner"] >= 20))
         .withColumn("_hex", _spans(text, HEX, "hex"))
         .withColumn("_ident", _spans(text, IDENT, "ident", 1))
@@ -122,7 +123,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
         x["start"].cast("long").alias("start"), F.array_position(order, x["kind"]).alias("place"), x["end"].cast("long").alias("end"), x["kind"].alias("kind")
     ))
     plain = F.transform(F.array_sort(keyed), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return parts.withColumn("_found", plain).select(*[c for c in docs.columns if c != "secrets"], F.col("_found").alias("secrets"))
+    return parts.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "secrets"], plain.alias("secrets"))
 
 
 def joined(found: Column) -> Column:
@@ -132,7 +133,8 @@ def joined(found: Column) -> Column:
 def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """``docs`` with every span of ``find_secrets`` replaced by its kind in angle brackets, the
     first of spans that overlap winning."""
-    found = find_secrets(docs.withColumn("_text", F.coalesce("text", F.lit(""))), reach)
+    found = find_secrets(docs.select("text", F.struct("*").alias("row")), reach)
+    text = F.coalesce("text", F.lit(""))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     pieces = F.aggregate(
         "secrets",
@@ -141,10 +143,10 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
             x["start"] >= s["at"],
             F.struct(
                 x["end"].alias("at"),
-                F.concat(s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")).alias("out"),
+                F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")).alias("out"),
             ),
         ).otherwise(s),
-        lambda s: F.concat(s["out"], F.substring(F.col("_text"), (s["at"] + 1).cast("int"), F.length("_text"))),
+        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
     changed = F.when(F.size("secrets") > 0, pieces).otherwise(F.col("text"))
-    return found.withColumn("text", changed).select(*docs.columns)
+    return found.select(*[changed.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
