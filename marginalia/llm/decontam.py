@@ -8,9 +8,10 @@ of its length class, so every item lies wholly in some passage.
 Retrieval is block-max WAND over a whole batch of passages at once. Items are cut into blocks, and a
 posting holds the largest weight of its word in a block. Words that even together stay well under
 the threshold are non-essential: they are only counted by their largest sum in a block. For each
-passage the block maxima of its essential words are added; a block whose bound stays under the
-threshold is skipped unread, and the items of the other blocks are scored exactly. All items at or
-above the threshold are retrieved; nothing is cut at a number of hits.
+passage the block maxima of its essential words are added; blocks whose bound stays under the
+threshold are skipped, passages without any other block end there, and of the rest only items that
+can still reach the threshold are scored exactly. All items at or above the threshold are
+retrieved; nothing is cut at a number of hits.
 
 Retrieved pairs are verified: the passage must hold enough of the word triples of the item's
 question and of its answer.
@@ -64,24 +65,63 @@ def grams(hashes: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Block:
-    items: np.ndarray  # rows of the index
-    terms: np.ndarray  # sorted word numbers
-    weights: np.ndarray  # terms x items
-    rest: float = 0.0  # largest sum of non-essential weights of an item
+class Postings:
+    """Targets (blocks or items) of each word with the word's largest weight there."""
+
+    starts: np.ndarray
+    target: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def build(cls, n_terms: int, entries: list[tuple[int, int, float]]) -> Postings:
+        best: dict[tuple[int, int], float] = {}
+        for t, target, w in entries:
+            best[t, target] = max(w, best.get((t, target), 0.0))
+        rows = sorted((t, x, w) for (t, x), w in best.items())
+        starts = np.searchsorted(np.array([r[0] for r in rows], np.int64), np.arange(n_terms + 2))
+        return cls(starts, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float))
+
+    def of(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all postings of the words, and how many each word has."""
+        many = self.starts[t + 1] - self.starts[t]
+        before = np.cumsum(many) - many
+        return np.repeat(self.starts[t] - before, many) + np.arange(int(many.sum())), many
 
 
 @dataclass
 class LengthClass:
-    """Index over the items of one length class."""
+    """Index over the items of one length class. Word number len(vocabulary) is any other word."""
 
     segment: int
     vocabulary: np.ndarray  # sorted hashes of all words
     essential: np.ndarray
-    starts: np.ndarray  # by word: where its block postings begin
-    post_block: np.ndarray
-    post_max: np.ndarray
-    blocks: list[Block] = field(default_factory=list)
+    items: np.ndarray  # rows of the index
+    vectors: list[tuple[np.ndarray, np.ndarray]]  # words and weights of each item
+    by_block: Postings
+    by_item: Postings
+    block_of: np.ndarray
+    block_rest: np.ndarray  # largest sum of non-essential weights of an item
+    item_rest: np.ndarray
+
+    @property
+    def n_items(self) -> int:
+        return len(self.items)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word; the top bits of a hash narrow the search to a few entries."""
+        if not hasattr(self, "_first"):
+            bits = max(8, int(np.ceil(np.log2(len(self.vocabulary) + 1))) + 4)
+            self._shift = np.uint64(64 - bits)
+            tops = (self.vocabulary >> self._shift).astype(np.int64)
+            self._first = np.searchsorted(tops, np.arange(1 << bits)).astype(np.int32)
+            self._deep = int(np.bincount(tops).max(initial=1))
+            self._padded = np.append(self.vocabulary, np.zeros(self._deep + 1, np.uint64))
+        at = self._first[(hashes >> self._shift).astype(np.int64)]
+        out = np.full(len(hashes), len(self.vocabulary), np.int32)
+        for k in range(self._deep):
+            hit = self._padded[at + k] == hashes
+            out[hit] = (at + k)[hit]
+        return np.minimum(out, len(self.vocabulary)).astype(np.int64)
 
 
 @dataclass
@@ -143,19 +183,15 @@ def _length_class(segment, members, words, df, n_items, mean_words) -> LengthCla
             essential[t] = False
             for k, y in owners[t]:
                 load[k] += y
-    blocks, postings = [], []
-    for at in range(0, len(order), BLOCK_ITEMS):
-        inside = order[at : at + BLOCK_ITEMS]
-        own = np.unique(np.concatenate([terms[k] for k in inside]))
-        table = np.zeros((len(own), len(inside)))
-        for column, k in enumerate(inside):
-            table[np.searchsorted(own, terms[k]), column] = weights[k]
-        blocks.append(Block(np.array([members[k] for k in inside]), own, table, float(table[~essential[own]].sum(0).max(initial=0))))
-        postings += [(int(t), len(blocks) - 1, float(m)) for t, m in zip(own, table.max(1))]
-    postings.sort()
-    starts = np.searchsorted(np.array([p[0] for p in postings]), np.arange(len(vocabulary) + 1))
+    block_of = np.zeros(len(members), np.int64)
+    block_of[order] = np.arange(len(members)) // BLOCK_ITEMS
+    entries = [(int(x), k, float(y)) for k, (t, w) in enumerate(zip(terms, weights)) for x, y in zip(t, w) if essential[x]]
+    block_rest = np.zeros(int(block_of.max()) + 1)
+    np.maximum.at(block_rest, block_of, load)
     return LengthClass(
-        segment, vocabulary, essential, starts, np.array([p[1] for p in postings], np.int64), np.array([p[2] for p in postings]), blocks
+        segment, vocabulary, np.append(essential, False), np.array(members), list(zip(terms, weights)),
+        Postings.build(len(vocabulary), [(t, int(block_of[k]), w) for t, k, w in entries]),
+        Postings.build(len(vocabulary), entries), block_of, block_rest, load,
     )
 
 
@@ -174,38 +210,46 @@ def search(texts: list[bytes], index: Index, threshold: float = THRESHOLD) -> It
 def _search_class(hashes, first, lengths, of_text, place, group: LengthClass, index: Index, threshold: float):
     segments = -(-lengths // group.segment)
     offset = np.concatenate([[0], np.cumsum(segments)])
-    term = np.searchsorted(group.vocabulary, hashes)
-    term[term == len(group.vocabulary)] = 0
-    known = group.vocabulary[term] == hashes
-    segment = offset[of_text] + place // group.segment
-    counted = known & group.essential[term]
-    n_terms, n_blocks, n_segments = len(group.vocabulary), len(group.blocks), int(offset[-1])
-    pairs = np.unique(segment[counted] * n_terms + term[counted])
-    seg, t = pairs // n_terms, pairs % n_terms
-    many = group.starts[t + 1] - group.starts[t]
-    at = np.repeat(group.starts[t] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    bound = np.bincount(np.repeat(seg, many) * n_blocks + group.post_block[at], group.post_max[at], n_segments * n_blocks)
-    bound = bound.reshape(n_segments, n_blocks)
+    term = group.numbers(hashes)
+    n_terms, n_blocks, n_segments = len(group.vocabulary), len(group.block_rest), int(offset[-1])
+    counted = np.flatnonzero(group.essential[term])
+    segment = offset[of_text[counted]] + place[counted] // group.segment
+    pairs = np.sort(segment * (n_terms + 1) + term[counted])
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
+    seg, t = pairs // (n_terms + 1), pairs % (n_terms + 1)
+    follows = np.zeros(n_segments, bool)
     text_of = np.repeat(np.arange(len(segments)), segments)
-    follows = np.append(text_of[1:] == text_of[:-1], False)
-    both = bound.copy()
-    both[follows] += bound[1:][follows[:-1]]
-    rest = np.array([b.rest for b in group.blocks])
-    for s, b in np.argwhere(both + rest + 1e-9 >= threshold):
+    follows[:-1] = text_of[1:] == text_of[:-1]
+
+    def bounds(postings: Postings, width: int, pick: np.ndarray) -> np.ndarray:
+        """Sum of the weights of a passage's essential words, by block or by item."""
+        at, many = postings.of(t[pick])
+        own = np.bincount(np.repeat(seg[pick], many) * width + postings.target[at], postings.weight[at], n_segments * width)
+        own = own.reshape(n_segments, width)
+        own[:-1] += own[1:] * follows[:-1, None]
+        return own
+
+    passed = bounds(group.by_block, n_blocks, slice(None)) + group.block_rest + 1e-9 >= threshold
+    alive = passed.any(1)
+    alive[1:] |= alive[:-1] & follows[:-1]  # the second segment of a passage
+    pick = np.flatnonzero(alive[seg])
+    items = bounds(group.by_item, group.n_items, pick) + group.item_rest + 1e-9 >= threshold
+    items &= passed[:, group.block_of]
+    has = np.zeros(n_terms + 1, bool)
+    for s, k in np.argwhere(items):
         doc = text_of[s]
         a = first[doc] + (s - offset[doc]) * group.segment
         z = min(a + 2 * group.segment, first[doc + 1])
-        block = group.blocks[b]
-        score = block.weights[np.isin(block.terms, term[a:z][known[a:z]])].sum(0)
-        reached = np.flatnonzero(score + 1e-9 >= threshold)
-        if not len(reached):
+        has[term[a:z]] = True
+        terms, weights = group.vectors[k]
+        score = float(weights[has[terms]].sum())
+        has[term[a:z]] = False
+        if score + 1e-9 < threshold:
             continue
-        passage = grams(hashes[a:z])
-        for k in reached:
-            item = block.items[k]
-            q, w = (_overlap(g[item], passage) for g in (index.question, index.answer))
-            if min(q, w) + 1e-9 >= index.need[item]:
-                yield int(doc), int(item), float(score[k]), q, w
+        item, passage = group.items[k], grams(hashes[a:z])
+        q, w = (_overlap(g[item], passage) for g in (index.question, index.answer))
+        if min(q, w) + 1e-9 >= index.need[item]:
+            yield int(doc), int(item), score, q, w
 
 
 def _overlap(wanted: np.ndarray, passage: np.ndarray) -> float:
