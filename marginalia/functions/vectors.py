@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """List column -> (rows, dim) float64 matrix with unit rows; all-zero rows stay zero."""
+    """List column -> (rows, dim) float64 matrix with unit rows; all-zero rows stay zero. Rows must
+    be complete vectors of one size (see ``complete``)."""
     if len(column) == 0:
         return np.zeros((0, 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -16,6 +21,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
+def complete(vector: str, dim: int) -> Column:
+    """Whether a row holds a vector of ``dim`` numbers, none of them null."""
+    v = F.col(vector)
+    return F.coalesce((F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull()), F.lit(False))
+
+
+def tiles(n_queries: int, n_rows: int, most_bytes: int = 64 << 20) -> Iterator[slice]:
+    """Row slices whose table of scores stays within ``most_bytes``."""
+    step = max(1, most_bytes // (8 * max(n_queries, 1)))
+    for a in range(0, n_rows, step):
+        yield slice(a, min(a + step, n_rows))
+
+
 class TopK:
     """Running best-k list per query, ordered by rounded similarity, then id."""
 
@@ -27,7 +45,10 @@ class TopK:
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """Fold in a (queries, rows) block of similarities."""
         width = scores.shape[1]
-        for q in range(scores.shape[0]):
+        if not width:
+            return
+        last = np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
+        for q in np.flatnonzero(scores.max(axis=1) >= last):
             row = scores[q]
             if width > self.k:
                 floor = np.partition(row, width - self.k)[width - self.k]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def per_query(queries: DataFrame, expected: DataFrame, retrieved: DataFrame, query_id: str, note: str) -> DataFrame:
@@ -55,6 +58,7 @@ def averages(metrics: DataFrame, *group: str) -> DataFrame:
         mean("precision_at_5"),
         mean("mrr"),
         F.count_if("passed").alias("num_passed"),
+        F.count_if(F.col("n_expected") == 0).alias("num_without_truth"),
     )
 
 
@@ -69,27 +73,62 @@ def passage_matches(
 ) -> DataFrame:
     """(passage_id, doc_id) where the document text holds the passage.
 
-    Inner words of a passage must appear as whole consecutive words, so documents meet
-    passages on that word group by equality; only the pairs found that way are checked in
-    full. Passages too short for an anchor are not matched.
+    Inner words of a passage must appear as whole consecutive words, so documents meet passages
+    on such a group of words by equality. A passage of two words ends one word and begins the
+    next; one of a single word is part of a word. They meet on pieces of words of just the lengths
+    that occur among the passages. Only pairs found that way are checked in full. An empty
+    passage is held by nothing.
     """
-    words = F.split(F.col(passage), " ")
-    anchored = passages.where(F.size(words) > anchor_words + 1).select(
-        passage_id, passage, F.array_join(F.slice(words, 2, anchor_words), " ").alias("_a")
-    )
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size("_w") - F.lit(anchor_words - 1)),
-        lambda i: F.array_join(F.slice("_w", i, anchor_words), " "),
-    )
-    met = (
-        documents.select(doc_id, F.split(F.col(text), r"\s+").alias("_w"))
-        .where(F.size("_w") >= anchor_words)
-        .select(doc_id, F.explode(F.array_distinct(spans)).alias("_a"))
-        .join(anchored, "_a")
-        .select(passage_id, passage, doc_id)
-    )
+    words = F.split(F.col(passage), r"\s+")
+    passages = passages.where(F.length(passage) > 0).select(passage_id, passage, words.alias("_p"))
+    inner = F.least(F.lit(anchor_words), F.size("_p") - 2)
+    sizes = [r[0] for r in passages.where(inner > 0).select(inner.alias("n")).distinct().collect()]  # at most anchor_words
+    texts = documents.select(doc_id, F.split(F.col(text), r"\s+").alias("_w"))
+    met = [_inner_words(passages.where(inner == n), texts, doc_id, n) for n in sizes]
+    met += [_word_edges(passages.where(F.size("_p") == 2), texts, doc_id), _word_parts(passages.where(F.size("_p") == 1), texts, doc_id)]
+    met = [m for m in met if m is not None]
+    if not met:
+        none = T.StructType([passages.schema[passage_id], documents.schema[doc_id]])
+        return documents.sparkSession.createDataFrame([], none)
+    pairs = reduce(DataFrame.unionByName, [m.select(passage_id, passage, doc_id) for m in met]).distinct()
     return (
-        met.join(documents.select(doc_id, text), doc_id)
+        pairs.join(documents.select(doc_id, text), doc_id)
         .where(F.contains(F.col(text), F.col(passage)))
         .select(passage_id, doc_id)
     )
+
+
+def _inner_words(passages: DataFrame, texts: DataFrame, doc_id: str, n: int) -> DataFrame:
+    """Passages and texts that share the first ``n`` inner words."""
+    anchored = passages.withColumn("_a", F.array_join(F.slice("_p", 2, n), " "))
+    spans = F.transform(F.sequence(F.lit(1), F.size("_w") - F.lit(n - 1)), lambda i: F.array_join(F.slice("_w", i, n), " "))
+    found = texts.where(F.size("_w") >= n).select(doc_id, F.explode(F.array_distinct(spans)).alias("_a"))
+    return found.join(anchored, "_a")
+
+
+def _word_edges(passages: DataFrame, texts: DataFrame, doc_id: str) -> DataFrame | None:
+    """Two-word passages and texts with a word that ends and a next word that begins like them."""
+    left, right = F.length(F.col("_p")[0]), F.length(F.col("_p")[1])
+    lengths = [tuple(r) for r in passages.select(left, right).distinct().collect()]  # bounded by the lengths of words
+    edges = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in lengths]
+    if not edges:
+        return None
+    neighbours = F.arrays_zip(F.slice("_w", 1, F.size("_w") - 1).alias("x"), F.slice("_w", 2, F.size("_w")).alias("y"))
+    pieces = F.flatten(F.transform(neighbours, lambda n: F.transform(
+        F.array(*edges), lambda e: F.concat(F.right(n["x"], e["a"]), F.lit(" "), F.left(n["y"], e["b"]))
+    )))
+    found = texts.where(F.size("_w") >= 2).select(doc_id, F.explode(F.array_distinct(pieces)).alias("_a"))
+    return found.join(passages.withColumn("_a", F.array_join("_p", " ")), "_a")
+
+
+def _word_parts(passages: DataFrame, texts: DataFrame, doc_id: str) -> DataFrame | None:
+    """One-word passages and texts with a word that has them as a part."""
+    lengths = [r[0] for r in passages.select(F.length(F.col("_p")[0])).distinct().collect()]
+    if not lengths:
+        return None
+    parts = lambda w, n: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))
+    every = F.flatten(F.transform("_w", lambda w: F.flatten(F.transform(
+        F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(w)), lambda n: parts(w, n)
+    ))))
+    found = texts.select(doc_id, F.explode(F.array_distinct(every)).alias("_a"))
+    return found.join(passages.withColumn("_a", F.col("_p")[0]), "_a")

@@ -85,9 +85,10 @@ def labels(queries: DataFrame, candidates: DataFrame, query_id: str, top_n: int
 
 
 def citations(ranked: DataFrame, chunks: DataFrame, query_id: str, key: str) -> DataFrame:
-    """Ranked chunks with their payload and a 200-character snippet."""
+    """Ranked chunks with their payload and a 200-character snippet. A chunk that is no longer
+    stored has no payload and is left out."""
     payload = chunks.select(key, "note_path", "note_title", "heading_path", "chunk_text")
-    return ranked.join(payload, key, "left").select(
+    return ranked.join(payload, key).select(
         query_id,
         key,
         "rk",

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
-from marginalia.functions.vectors import TopK, matrix
+from marginalia.functions.vectors import TopK, complete, matrix, tiles
 from marginalia.session import literal_rows, materialize
 
 # the query matrix is shared with every task up to this size; beyond it both sides are blocked
@@ -203,7 +203,8 @@ def _streamed_topk(chunks, queries, key, query_id, vector, k, schema):
             if batch.num_rows:
                 rows = matrix(batch.column(1))
                 keys = np.array(batch.column(0).to_pylist(), dtype=object)
-                best.add(np.round(wanted @ rows.T, 6), keys)
+                for tile in tiles(len(ids), len(keys)):
+                    best.add(np.round(wanted @ rows[tile].T, 6), keys[tile])
         yield _emit(best, ids, out)
 
     return chunks.select(key, vector).mapInArrow(scan, schema)
@@ -241,13 +242,23 @@ def _blocked_topk(chunks, queries, key, query_id, vector, k, schema, block_rows)
             wanted = matrix(query_block["_qv"].combine_chunks())
             rows = matrix(chunk_block["_cv"].combine_chunks())
             keys = np.array(chunk_block[key].to_pylist(), dtype=object)
-            best.add(np.round(wanted @ rows.T, 6), keys)
+            for tile in tiles(len(ids), len(keys)):
+                best.add(np.round(wanted @ rows[tile].T, 6), keys[tile])
             return pa.Table.from_batches([_emit(best, ids, out)])
         return out.empty_table()
 
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(score, schema)
 
 
+def _dimension(queries: DataFrame, vector: str) -> int:
+    return queries.agg(F.coalesce(F.mode(F.when(F.size(vector) > 0, F.size(vector)), True), F.lit(0))).first()[0]
+
+
+def incomplete_vectors(rows: DataFrame, queries: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """(key, size) of rows whose vector is missing, has nulls or another size than the questions'."""
+    return rows.where(~complete(vector, _dimension(queries, vector))).select(key, F.size(vector).alias("size"))
+
+
 def vector_topk(
     chunks: DataFrame,
     queries: DataFrame,
@@ -262,10 +273,13 @@ def vector_topk(
     """(query, key, similarity, rk): exact cosine top-k, then the similarity gate.
 
     The query matrix is shared with every task only while its measured size is small;
-    beyond that both sides are joined block by block.
+    beyond that both sides are joined block by block. Rows without a whole vector of the
+    questions' size take no part; ``incomplete_vectors`` lists them.
     """
     schema = _result_schema(chunks, queries, key, query_id)
-    cells = queries.agg(F.coalesce(F.sum(F.size(vector)), F.lit(0))).first()[0]
+    dim = _dimension(queries, vector)
+    chunks, queries = chunks.where(complete(vector, dim)), queries.where(complete(vector, dim))
+    cells = queries.count() * dim
     if cells * 8 <= broadcast_bytes:
         hits = _streamed_topk(chunks, queries, key, query_id, vector, k, schema)
     else:

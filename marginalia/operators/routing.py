@@ -115,15 +115,14 @@ def file_names(created: DataFrame, existing: DataFrame, order: str) -> DataFrame
 def absent_items(items: DataFrame, notes: DataFrame, order: str) -> DataFrame:
     """Items (date, text) whose text does not occur in the note of that date.
 
-    One note per date; equal items of a batch are added once, in order.
+    A date may have several notes: an item that one of them holds is not absent. Equal items of
+    a batch are added once, in order.
     """
     firsts = items.groupBy("date", "text").agg(F.min(order).alias(order))
     have = notes.select("date", F.col("content").alias("_content"))
-    return (
-        firsts.join(have, "date", "left")
-        .where(F.col("_content").isNull() | ~F.contains(F.col("_content"), F.col("text")))
-        .drop("_content")
-    )
+    held = F.bool_or(F.contains(F.col("_content"), F.col("text")))
+    found = firsts.join(have, "date", "left").groupBy("date", "text", order).agg(F.coalesce(held, F.lit(False)).alias("_held"))
+    return found.where(~F.col("_held")).drop("_held")
 
 
 def event_title(bullet: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,5 +25,8 @@ def numbered_in_group(df: DataFrame, keys: list[str], order: list[str], name: st
     starts = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = Window.partitionBy(*keys, "_piece").orderBy(*order)
     number = (F.row_number().over(local) + F.col("_start")).cast("long")
-    return placed.join(starts, [*keys, "_piece"]).withColumn(name, number).drop("_piece", "_start")
+    # a null key is a group like any other
+    named = starts.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate([*keys, "_piece"])], "_start")
+    same = reduce(and_, [placed[c].eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate([*keys, "_piece"])])
+    return placed.join(named, same).withColumn(name, number).select(*df.columns, name)
 

@@ -117,9 +117,11 @@ top5 AS (
 )
 
 TRUTH = """
+split AS (SELECT item_id, string_split_regex(text, '\\s+') AS w FROM benchmark),
 passage AS (
-  SELECT item_id, array_to_string(string_split_regex(text, '\\s+')[4:15], ' ') AS p FROM benchmark),
-truth AS (SELECT item_id, doc_id FROM passage JOIN documents ON contains(text, p))"""
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS p
+  FROM split, LATERAL (SELECT unnest(range(1, greatest(len(w) - 11, 1) + 1)) AS i) s),
+truth AS (SELECT DISTINCT item_id, doc_id FROM passage JOIN documents ON contains(text, p))"""
 
 METRICS = (
     HYBRID
@@ -225,9 +227,11 @@ def render_context(t: Tables) -> DataFrame:
 
 
 def truth(t: Tables) -> DataFrame:
+    """An item is expected where a document holds twelve words in a row of its text."""
     words = F.split("text", r"\s+")
-    passages = t.benchmark.select("item_id", F.array_join(F.slice(words, 4, 12), " ").alias("passage"))
-    return evaluate.passage_matches(passages, t.spread("documents"), "item_id", "passage", "doc_id", "text")
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 11, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 12), " "))
+    passages = t.benchmark.select("item_id", F.explode(F.array_distinct(spans)).alias("passage"))
+    return evaluate.passage_matches(passages, t.spread("documents"), "item_id", "passage", "doc_id", "text").distinct()
 
 
 def metric_rows(t: Tables) -> DataFrame:
@@ -247,7 +251,8 @@ def eval_recall_precision_mrr(t: Tables) -> DataFrame:
 
 _AVG = """count(*)::BIGINT AS num_queries, round(avg(recall_at_5), 6)::DOUBLE AS avg_recall_at_5,
     round(avg(recall_at_10), 6)::DOUBLE AS avg_recall_at_10, round(avg(precision_at_5), 6)::DOUBLE AS avg_precision_at_5,
-    round(avg(mrr), 6)::DOUBLE AS avg_mrr, count(*) FILTER (passed)::BIGINT AS num_passed"""
+    round(avg(mrr), 6)::DOUBLE AS avg_mrr, count(*) FILTER (passed)::BIGINT AS num_passed,
+    count(*) FILTER (n_expected = 0)::BIGINT AS num_without_truth"""
 
 
 @query("eval_report", f"WITH {METRICS} SELECT {_AVG} FROM metrics")

@@ -81,6 +81,8 @@ def encode_metadata(metadata: DataFrame) -> DataFrame:
     return metadata.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in metadata.columns])
 
 
+PAGE_LIMIT = 200
+
 METADATA_FIELDS = {
     "key_phrases": "array<string>",
     "entities": "array<struct<text:string,entity_type:string,confidence:double>>",
@@ -96,5 +98,7 @@ def decode_metadata(encoded: DataFrame) -> DataFrame:
 
 
 def page(table: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
-    """A page of at most 200 rows in key order."""
-    return table.orderBy(order).offset(offset).limit(min(limit, 200))
+    """A page in key order. More than ``PAGE_LIMIT`` rows cannot be asked for at once."""
+    if not 1 <= limit <= PAGE_LIMIT or offset < 0:
+        raise ValueError(f"a page has 1 to {PAGE_LIMIT} rows from offset 0 on, not {limit} from {offset}")
+    return table.orderBy(order).offset(offset).limit(limit)

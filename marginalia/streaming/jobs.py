@@ -36,6 +36,30 @@ def source(
     return reader.parquet(folder)
 
 
+def _status(spark: SparkSession, path: str):
+    """File status of a path in whatever store it lies, or None."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store.getFileStatus(place) if store.exists(place) else None
+
+
+def table_source(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """A stream over a stored table, be it one file or a folder of files."""
+    path = f"{folder}/{name}.parquet"
+    status = _status(spark, path)
+    if status is not None and status.isDirectory():
+        return source(spark, path, schema)
+    return source(spark, folder, schema, f"{name}.parquet")
+
+
+def stored(spark: SparkSession, schema: T.StructType | str, path: str, base: str | None = None) -> DataFrame:
+    """Rows written under a path; none if no batch has come."""
+    if _status(spark, path) is None:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema)
+    return (reader.option("basePath", base) if base else reader).parquet(path)
+
+
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     checkpoint = shared_dir(stream.sparkSession, "checkpoint")
     query = (
@@ -62,7 +86,7 @@ def collect_updates(stream: DataFrame, keys: list[str], purpose: str, mode: str
 
     run_batches(stream, write, mode)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    emitted = spark.read.schema(schema).option("basePath", root).parquet(root)
+    emitted = stored(spark, schema, root, root)
     values = [c for c in stream.columns if c not in keys]
     last = F.max_by(F.struct(*values), "batch")
     return emitted.groupBy(*keys).agg(last.alias("_v")).select(*keys, "_v.*")
@@ -81,7 +105,7 @@ def collect_appended(stream: DataFrame, purpose: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(root)
+    return stored(spark, stream.schema, root)
 
 
 # --- windows ----------------------------------------------------------------------------
@@ -145,7 +169,7 @@ def keep_last(messages: DataFrame, keep: int, purpose: str = "keep-last") -> Dat
         last["batch"] = number
 
     run_batches(messages, merge)
-    return spark.read.schema(messages.schema).parquet(_batch_path(root, last["batch"]))
+    return stored(spark, messages.schema, _batch_path(root, last["batch"]))
 
 
 def ingest(files: DataFrame, tracker: DataFrame, purpose: str = "ingest") -> DataFrame:
@@ -186,6 +210,6 @@ def inbox(replies: DataFrame, purpose: str = "inbox") -> tuple[DataFrame, DataFr
         )
 
     run_batches(replies, split)
-    good = spark.read.schema("note_path string, summary string, batch long").parquet(f"{root}/processed")
-    bad = spark.read.schema("note_path string, raw string, batch long").parquet(f"{root}/failed")
+    good = stored(spark, "note_path string, summary string, batch long", f"{root}/processed")
+    bad = stored(spark, "note_path string, raw string, batch long", f"{root}/failed")
     return good.drop("batch"), bad.drop("batch")
