@@ -45,8 +45,9 @@ def without(messages: DataFrame, gone: DataFrame) -> DataFrame:
 def sessions(activity: DataFrame, gap: str, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """Runs of activity per user with no pause of ``gap`` or more. Works on streams too.
 
-    In batch, runs are formed per user and hour first; only those short runs meet per user,
-    so a user with very much activity is not gathered row by row.
+    In batch, rows are first counted by stretches of time as long as the gap, which combines where
+    they are read: two rows of a stretch are never a gap apart, so they share a session. Only the
+    stretches meet per user.
     """
 
     def runs(df: DataFrame, keys: list, start: str, length, n) -> DataFrame:
@@ -58,7 +59,10 @@ def sessions(activity: DataFrame, gap: str, key: str = "user_id", ts: str = "ts"
 
     if activity.isStreaming:
         return runs(activity, [key], ts, gap, F.count(F.lit(1)))
-    hourly = runs(activity, [key, F.date_trunc("hour", ts)], ts, gap, F.count(F.lit(1)))
-    micros = F.unix_micros("session_end") - F.unix_micros("session_start")
-    length = F.concat(micros.cast("string"), F.lit(" microseconds"))
-    return runs(hourly, [key], "session_start", length, F.sum("n"))
+    width = F.expr(f"unix_micros(timestamp_seconds(0) + interval {gap})")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    stretches = activity.groupBy(key, F.floor(at / width).alias("_stretch")).agg(
+        F.min(F.col(ts).cast("timestamp")).alias("_first"), F.min(at).alias("_a"), F.max(at).alias("_b"), F.count(F.lit(1)).alias("n")
+    )
+    length = F.concat((F.col("_b") - F.col("_a") + width).cast("string"), F.lit(" microseconds"))
+    return runs(stretches, [key], "_first", length, F.sum("n"))

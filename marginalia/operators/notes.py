@@ -16,17 +16,24 @@ from marginalia.functions.splitting import section_pieces
 _FRONT = r"(?s)^---[ \t]*\n(.*?)\n---[ \t]*(?:\n|$)"
 
 
-def front_matter(content: Column) -> Column:
-    """Flat ``key: value`` pairs of the head block as a map; a later key wins."""
+# what a plain value of the head block reads as when it is no text: nothing, truth values, numbers,
+# dates, lists and maps
+_NO_TEXT = (
+    r"(?i)^(|~|null|true|false|yes|no|on|off|[-+]?[0-9][0-9_]*(\.[0-9]*)?(e[-+]?[0-9]+)?|[-+]?\.[0-9]+(e[-+]?[0-9]+)?"
+    r"|0x[0-9a-f]+|[-+]?\.inf|\.nan|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ].*)?|[\[{].*)$"
+)
+_QUOTED = r"""^(["'])(.*)\1$"""
+
+
+def _head_pairs(content: Column) -> Column:
+    """Key and value, as written, of every line of the head block; a later key wins."""
     head = F.regexp_extract(content, _FRONT, 1)
     lines = F.filter(F.split(head, "\n"), lambda s: s.rlike(r"^[^\s:#-][^:]*:"))
     pairs = F.transform(
         lines,
         lambda s: F.struct(
             X.strip(F.regexp_extract(s, r"^([^:]+):", 1)).alias("key"),
-            F.regexp_replace(
-                X.strip(F.regexp_extract(s, r"^[^:]+:(.*)$", 1)), r"""^(["'])(.*)\1$""", "$2"
-            ).alias("value"),
+            X.strip(F.regexp_extract(s, r"^[^:]+:(.*)$", 1)).alias("value"),
         ),
     )
 
@@ -35,7 +42,23 @@ def front_matter(content: Column) -> Column:
             ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda later: later["key"] == p["key"])
         )
 
-    return F.map_from_entries(X.bind(pairs, last_of_key))
+    return X.bind(pairs, last_of_key)
+
+
+def _unquoted(pairs: Column) -> Column:
+    return F.map_from_entries(
+        F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), F.regexp_replace(p["value"], _QUOTED, "$2").alias("value")))
+    )
+
+
+def front_matter(content: Column) -> Column:
+    """Flat ``key: value`` pairs of the head block as a map; a later key wins."""
+    return _unquoted(_head_pairs(content))
+
+
+def text_values(content: Column) -> Column:
+    """Those pairs of the head block whose value is a text: quoted, or no number, date and so on."""
+    return _unquoted(F.filter(_head_pairs(content), lambda p: p["value"].rlike(_QUOTED) | ~p["value"].rlike(_NO_TEXT)))
 
 
 def body(content: Column) -> Column:
@@ -43,14 +66,14 @@ def body(content: Column) -> Column:
 
 
 def note_title(path: Column, meta: Column, text: Column) -> Column:
-    """Front matter title, else first level-one heading, else the file stem."""
+    """Front matter title, if it is a text, else first level-one heading, else the file stem."""
     h1 = X.strip(F.regexp_extract(text, r"(?m)^[ \t]*# (.*)$", 1))
     has_h1 = F.regexp_like(text, F.lit(r"(?m)^[ \t]*# "))
     return F.coalesce(F.element_at(meta, "title"), F.when(has_h1, h1), X.stem(path))
 
 
 def note_date(path: Column, meta: Column) -> Column:
-    """Front matter date, else the date a dated file name consists of, else ''."""
+    """Front matter date, if it is a text, else the date a dated file name consists of, else ''."""
     named = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^(\d{4}-\d{2}-\d{2})\.md$", 1)
     return F.coalesce(F.nullif(F.element_at(meta, "date"), F.lit("")), named)
 
@@ -62,12 +85,13 @@ def parse(files: DataFrame) -> DataFrame:
     extra = [c for c in files.columns if c not in ("note_path", "content")]
     return (
         files.select("note_path", raw.alias("_raw"), *extra)
-        .select("note_path", *extra, front_matter(F.col("_raw")).alias("frontmatter"), body(F.col("_raw")).alias("body"))
+        .select("note_path", *extra, front_matter(F.col("_raw")).alias("frontmatter"),
+                text_values(F.col("_raw")).alias("_meta"), body(F.col("_raw")).alias("body"))
         .select(
             "note_path",
-            note_title(F.col("note_path"), F.col("frontmatter"), F.col("body")).alias("note_title"),
+            note_title(F.col("note_path"), F.col("_meta"), F.col("body")).alias("note_title"),
             X.folder_of_path(F.col("note_path")).alias("note_folder"),
-            note_date(F.col("note_path"), F.col("frontmatter")).alias("note_date"),
+            note_date(F.col("note_path"), F.col("_meta")).alias("note_date"),
             "frontmatter",
             "body",
             *extra,

@@ -44,16 +44,18 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     )
 
 
-def phrase_length(terms: DataFrame) -> int:
-    """Longest phrase, in tokens, among the query terms."""
-    return terms.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+def phrase_lengths(terms: DataFrame) -> tuple[int, ...]:
+    """Lengths, in tokens, that occur among the query terms."""
+    sizes = terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()
+    return tuple(sorted({1, *(r["n"] for r in sizes)}))
 
 
-def _grams(tokens: Column, longest: int) -> Column:
-    out = [tokens]
-    for n in range(2, longest + 1):
+def _grams(tokens: Column, lengths: tuple[int, ...]) -> Column:
+    """All runs of tokens of the given lengths."""
+    out = []
+    for n in lengths:
         starts = F.sequence(F.lit(1), F.size(tokens) - F.lit(n - 1))
-        grams = F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
+        grams = tokens if n == 1 else F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
         out.append(F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>")))
     return F.concat(*out)
 
@@ -70,7 +72,7 @@ _CHUNK = "\x00chunk"
 
 
 def postings(
-    corpus: DataFrame, key: str, fields: list[str], longest: int = 1, vocabulary: DataFrame | None = None
+    corpus: DataFrame, key: str, fields: list[str], lengths: tuple[int, ...] = (1,), vocabulary: DataFrame | None = None
 ) -> DataFrame:
     """Inverted index rows (key, dl, term, tf).
 
@@ -79,27 +81,26 @@ def postings(
     terms are kept, before any shuffle.
     """
     toks = tokenized(corpus, key, fields)
-    grams = F.concat(*[_grams(F.col(f"_t{i}"), longest) for i in range(len(fields))])
+    grams = F.concat(*[_grams(F.col(f"_t{i}"), lengths) for i in range(len(fields))])
     rows = toks.select(key, "dl", F.explode(grams).alias("term"))
     if vocabulary is not None:
         rows = rows.join(vocabulary.select("term").distinct(), "term", "left_semi")
     return rows.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def query_index(corpus: DataFrame, key: str, fields: list[str], terms: DataFrame, longest: int) -> DataFrame:
+def query_index(corpus: DataFrame, key: str, fields: list[str], terms: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """Index rows for the terms of a batch of queries, plus one length row per chunk.
 
     Written once to the shared folder: lengths, document counts and scores all read it, so
-    the corpus text is read and cut into words a single time. Rows lie together by chunk, so
-    that the sum of a chunk's terms is nearly complete before it is shuffled.
+    the corpus text is read and cut into words a single time. Terms are counted where the text
+    is read; what is shuffled is one row per (chunk, term).
     """
     toks = tokenized(corpus, key, fields)
-    grams = F.concat(*[_grams(F.col(f"_t{i}"), longest) for i in range(len(fields))], F.array(F.lit(_CHUNK)))
+    grams = F.concat(*[_grams(F.col(f"_t{i}"), lengths) for i in range(len(fields))], F.array(F.lit(_CHUNK)))
     wanted = terms.select("term").distinct().union(literal_rows(terms.sparkSession, [(_CHUNK,)], ["term"]))
     rows = (
         toks.select(key, "dl", F.explode(grams).alias("term"))
         .join(wanted, "term", "left_semi")
-        .repartition(F.col(key))
         .groupBy(key, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -136,7 +137,7 @@ def bm25_topk(
 ) -> DataFrame:
     """(query, key, score, rk) by BM25 over all fields of the chunk."""
     terms = query_terms(queries, query_id, text)
-    index = query_index(corpus, key, fields, terms, phrase_length(terms))
+    index = query_index(corpus, key, fields, terms, phrase_lengths(terms))
     stats = corpus_stats(index)
     weighted = terms.join(term_stats(index, stats), "term")
     avg_dl = stats.select("avg_dl").scalar()

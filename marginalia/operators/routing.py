@@ -75,8 +75,8 @@ def file_names(created: DataFrame, existing: DataFrame, order: str) -> DataFrame
     """Give every created note a safe file title not used in its folder.
 
     Equal titles are numbered in order: the plain title if it is free, then ' 1', ' 2', …
-    around the numbers in use. One title may belong to a third of all rows, so rows are
-    numbered piece by piece and never gathered.
+    around the numbers in use, among them those that titles of this batch end in. One title may
+    belong to a third of all rows, so rows are numbered piece by piece and never gathered.
     """
     named = created.withColumn("_safe", X.safe_file_name(F.col("title")))
     ranked = numbered_in_group(named, ["folder", "_safe"], [order], "_rn")
@@ -97,8 +97,10 @@ def file_names(created: DataFrame, existing: DataFrame, order: str) -> DataFrame
         )
         .select("folder", "s._safe", "s.slot")
         .where("slot IS NOT NULL")
-        .distinct()
     )
+    ends = F.nullif(F.regexp_extract("_safe", r" ([1-9]\d*)$", 1), F.lit("")).cast("long")
+    own = named.select("folder", F.regexp_replace("_safe", r" [1-9]\d*$", "").alias("_safe"), ends.alias("slot"))
+    taken = taken.unionByName(own.where("slot IS NOT NULL")).distinct()
     # a used slot with f free slots before it sorts ahead of new row f + 1, so the place of a
     # row among rows and used slots is its slot
     used = numbered_in_group(taken, ["folder", "_safe"], ["slot"], "_i").select(

@@ -6,6 +6,7 @@ from marginalia.plans import (  # noqa: F401
     calendar_plans,
     insight_plans,
     note_plans,
+    pipeline_plans,
     registry,
     retrieval_plans,
     routing_plans,

@@ -25,12 +25,17 @@ def note_path() -> Column:
 
 
 def notes_md(t: Tables) -> DataFrame:
-    """(doc_id, note_path, content). Even ids have a head block; odd multiples of 11 have
+    """(doc_id, note_path, content). Even ids have a head block, with a quoted date for multiples
+    of 4, a plain one, which is no text, for the others, and a number as title for multiples of
+    10; odd multiples of 11 have
     neither head nor level-one heading; multiples of 3 end with links; multiples of 5 skip a
     heading level and come back."""
     i = F.col("doc_id")
     day = F.lpad((i % 28 + 1).cast("string"), 2, "0")
-    head = F.when(i % 2 == 0, cat("---\ntitle: Doc ", i, "\ndate: 2024-01-", day, "\n---\n")).otherwise("")
+    head = F.when(i % 2 == 0, cat(
+        "---\ntitle: ", F.when(i % 10 == 0, "2024").otherwise(cat("Doc ", i)),
+        "\ndate: ", F.when(i % 4 == 0, cat('"2024-01-', day, '"')).otherwise(cat("2024-01-", day)), "\n---\n",
+    )).otherwise("")
     h1 = F.when((i % 2 == 1) & (i % 11 == 0), "").otherwise(cat("# Doc ", i, "\n\n"))
     tail = F.when(
         i % 3 == 0,
@@ -53,7 +58,7 @@ notes AS (
     CASE WHEN doc_id % 2 = 1 AND doc_id % 11 = 0
       THEN CASE WHEN doc_id % 7 = 0 THEN '2024-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') ELSE doc_id::VARCHAR END
       ELSE 'Doc ' || doc_id END AS note_title,
-    CASE WHEN doc_id % 2 = 0 THEN '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')
+    CASE WHEN doc_id % 4 = 0 THEN '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0')
          WHEN doc_id % 7 = 0 THEN '2024-02-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') ELSE '' END AS note_date
   FROM documents)"""
 

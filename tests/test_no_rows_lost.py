@@ -98,3 +98,24 @@ def test_tiles_keep_the_result(spark, monkeypatch):
     monkeypatch.setattr(vectors.tiles, "__defaults__", (800,))
     assert run() == whole
     assert chunks.where(F.col("c") < 0).count() == 0
+
+
+def test_numbered_titles_of_a_batch_do_not_clash(spark):
+    new = spark.createDataFrame([(1, "f", "A"), (2, "f", "A"), (3, "f", "A 1"), (4, "f", "A 1"), (5, None, "A"), (6, None, "A")], "o int, folder string, title string")
+    old = spark.createDataFrame([("f", "A"), (None, "A")], "folder string, title string")
+    got = {r.o: (r.folder, r.file_title) for r in routing.file_names(new, old, "o").collect()}
+    assert len(set(got.values())) == 6 and got[3] == ("f", "A 1") and got[1] == ("f", "A 2")
+    assert {got[5][1], got[6][1]} == {"A 1", "A 2"}
+
+
+def test_sessions_join_stretches_of_activity(spark):
+    import datetime as dt
+
+    from marginalia.operators import conversations
+
+    start = dt.datetime(2024, 1, 1, 3)
+    minutes = [0, 50, 109, 169, 200, 320, 379, 438, 498, 600]
+    df = spark.createDataFrame([(1, start + dt.timedelta(minutes=m)) for m in minutes for _ in range(3)], "user_id int, ts timestamp")
+    got = conversations.sessions(df, "60 minutes").orderBy("session_start").collect()
+    raw = df.groupBy("user_id", F.session_window("ts", "60 minutes").alias("w")).count().orderBy("w").collect()
+    assert [(r.session_start, r.session_end, r.n) for r in got] == [(r.w.start, r.w.end, r["count"]) for r in raw] and len(raw) > 2

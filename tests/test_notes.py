@@ -41,9 +41,13 @@ def parse(spark, path, content):
 
 
 def test_front_matter_and_titles(spark):
-    row = parse(spark, "10_Notes/x.md", "---\ntitle: \"Quoted: one\"\ndate: 2024-05-06\ntags:\n  - a\ndate: 2024-05-07\n---\n# H\nbody")
+    row = parse(spark, "10_Notes/x.md", "---\ntitle: \"Quoted: one\"\ndate: 2024-05-06\ntags:\n  - a\ndate: '2024-05-07'\n---\n# H\nbody")
     assert (row.note_title, row.note_date, row.note_folder, row.body) == ("Quoted: one", "2024-05-07", "10_Notes", "# H\nbody")
     assert row.frontmatter["tags"] == ""
+    # a plain date or number is no text: the name and the heading stand
+    row = parse(spark, "a/2024-02-02.md", "---\ntitle: 2024\ndate: 2024-01-05\n---\n# H\nbody")
+    assert (row.note_title, row.note_date, row.frontmatter["date"]) == ("H", "2024-02-02", "2024-01-05")
+    assert parse(spark, "x.md", "---\ntitle: yes\n---\nb").note_title == "x"
     assert parse(spark, "x.md", "text\n  # Late title \nmore").note_title == "Late title"
     row = parse(spark, "00_Daily/2024-01-02.md", "## Not level one\r\nx")
     assert (row.note_title, row.note_date, row.body) == ("2024-01-02", "2024-01-02", "## Not level one\nx")

@@ -7,6 +7,9 @@ from marginalia.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
+# filters that leave nothing at this small scale; at sf0.01 no query is empty
+MAY_BE_EMPTY = {"stream_alert"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -16,8 +19,10 @@ def con():
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_same_rows_as_sql(spark, con, name):
     problem = compare(catalog.queries()[name](spark, FOLDER), con, catalog.oracle_sql()[name])
-    # a filter may leave nothing at this small scale; both sides agree then
-    assert problem in (None, "EMPTY RESULT")
+    if name in MAY_BE_EMPTY:
+        assert problem in (None, "EMPTY RESULT")
+    else:
+        assert problem is None
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
