@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators import notes, ranking, retrieval
+from marginalia.operators import indexing, notes, ranking, retrieval
 from marginalia.plans.fixtures import cat, order_notes
 from marginalia.plans.registry import Tables, query
 from marginalia.session import materialize
@@ -134,3 +134,61 @@ def chunk_hybrid_notes(t: Tables) -> DataFrame:
         "question_id", "chunk_id", "rk", F.col("rrf").alias("similarity"), F.lit(0.0).alias("rerank_score")
     )
     return ranking.citations(ranked, chunks, "question_id", "chunk_id").drop("chunk_id", "rerank_score")
+
+
+# --- incremental indexing ---------------------------------------------------------------
+
+_EDIT = "\nEdited."
+
+
+def folder_states(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(files before, files now): by the last digit of the order a note is new (0), gone (1), edited
+    (2), only touched (3) or edited with its old time (4)."""
+    k = F.col("o_orderkey") % 10
+    files = order_notes(t)
+    before = files.where(k != 0).select("note_path", "content", F.lit(1).alias("mtime"))
+    edited = F.when(k.isin(2, 4), F.concat(F.col("content"), F.lit(_EDIT.strip()))).otherwise(F.col("content"))
+    now = files.where(k != 1).select("note_path", edited.alias("content"), F.when(k.isin(2, 3), 2).otherwise(1).alias("mtime"))
+    return before, now
+
+
+def indexed(t: Tables, full: bool = False) -> indexing.Indexed:
+    """The folder as it was is indexed in run 1; run 2 brings the tables up to date."""
+    before, now = folder_states(t)
+    chunks = notes.chunk(notes.parse(before.select("note_path", "content"))).limit(0)
+    tracker = t.spark.createDataFrame([], "note_path string, mtime int, hash string, indexed_at string, chunk_count long")
+    first = indexing.reindex(before, tracker, chunks, "run-1")
+    return indexing.reindex(now, materialize(first.tracker, "tracker"), materialize(first.chunks, "chunks"), "run-2", full)
+
+
+def _after_sql(edited: str) -> str:
+    """Chunks after run 2, for the digits whose edit is seen."""
+    return f"""{CHUNK_SQL.split('asked AS')[0].split('chunk AS')[0]}
+e AS (
+  SELECT o_orderkey, note_path, chunk_index, heading, chunk_text ||
+    CASE WHEN chunk_index = 1 AND o_orderkey % 10 IN ({edited}) THEN chr(10) || 'Edited.' ELSE '' END AS chunk_text
+  FROM c WHERE o_orderkey % 10 <> 1),
+after AS (
+  SELECT *, sha1(note_path || '|' || replace(heading, ' > ', '|') || '|' || chunk_index || '|' ||
+    regexp_replace(chunk_text, '\\s+', ' ', 'g'))[1:16] AS chunk_id FROM e)"""
+
+
+@query("reindex_chunks", f"WITH {_after_sql('2')} SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, chunk_text FROM after")
+def reindex_chunks(t: Tables) -> DataFrame:
+    return indexed(t).chunks.select("note_path", "chunk_index", "chunk_id", "chunk_text")
+
+
+@query("reindex_full", f"WITH {_after_sql('2, 4')} SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, chunk_text FROM after")
+def reindex_full(t: Tables) -> DataFrame:
+    return indexed(t, full=True).chunks.select("note_path", "chunk_index", "chunk_id", "chunk_text")
+
+
+@query(
+    "reindex_tracker",
+    """SELECT 'orders/' || o_orderkey || '.md' AS note_path,
+      CASE WHEN o_orderkey % 10 = 2 THEN 2 ELSE 1 END AS mtime,
+      CASE WHEN o_orderkey % 10 IN (0, 2) THEN 'run-2' ELSE 'run-1' END AS indexed_at, 2::BIGINT AS chunk_count
+    FROM orders WHERE o_orderkey % 10 <> 1""",
+)
+def reindex_tracker(t: Tables) -> DataFrame:
+    return indexed(t).tracker.select("note_path", "mtime", "indexed_at", "chunk_count")
