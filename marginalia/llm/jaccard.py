@@ -39,8 +39,9 @@ PERCENT = 75
 MIN_PARTS = 16
 COUNTERS = 1 << 22
 _SLICE = 1 << 14
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 BLOCK = 2048
+FEW = 64
 RANKS_PER_BIT = 6
 SALT_RANK = 20 * RANKS_PER_BIT  # parts of more documents than about 2 ** 20 are split
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -340,23 +341,70 @@ def _cross_pairs(percent: int):
     return run
 
 
-def across_classes(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _small_pairs(batches):
+    """Pairs of two classes in parts of few documents; rows come sorted by part. Pairs are listed
+    once for each task, however many parts they share."""
+    for batch in batches:
+        part, doc, label = (batch.column(k).to_numpy() for k in range(3))
+        found, shift = [], 1
+        while True:
+            same = part[shift:] == part[:-shift]
+            if not same.any():
+                break
+            pick = np.flatnonzero(same & (label[shift:] != label[:-shift]))
+            found.append(np.stack([doc[pick], doc[pick + shift]], 1))
+            shift += 1
+        if found:
+            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _whole_parts(run):
+    """Hand ``run`` batches that do not cut a part in two; a part has at most ``FEW`` rows."""
+
+    def whole(batches):
+        rest = None
+        for batch in batches:
+            if rest is not None and rest.num_rows:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            part = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(part, part[-1])) if len(part) else 0
+            rest = batch.slice(cut)
+            yield batch.slice(0, cut)
+        if rest is not None:
+            yield rest
+
+    return lambda batches: run(whole(batches))
+
+
+def across_classes(shared: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int = PERCENT, few: int = FEW, block: int = BLOCK) -> DataFrame:
     """Candidate pairs (a, b) that share a part but lie in two classes.
 
-    ``shared`` has (part, doc). Parts whose documents are all in one class are done. The documents
-    of any other part are dealt into blocks of about ``block`` documents; a block meets itself
-    (side 2) and each later block (sides 0 and 1) in a group of its own."""
+    ``shared`` has (part, doc). Parts whose documents are all in one class are done. Parts of at
+    most ``few`` documents list their pairs, which are made distinct before their sketches are
+    looked at. The documents of a larger part are dealt into blocks of about ``block`` documents,
+    with their sketches; a block meets itself (side 2) and each later block (sides 0 and 1) in a
+    group of its own, and only pairs within the Hamming bound are listed."""
     members = shared.join(labels, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
     open_parts = members.groupBy("part").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("k"))
-    open_parts = open_parts.where("x <> y").select("part", F.ceil(F.col("k") / block).cast("long").alias("blocks"))
-    placed = members.join(open_parts, "part").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    cells = placed.select("part", "doc", "class", "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = materialize(members.join(open_parts.where("x <> y").select("part", "k"), "part"), "open-parts")
+
+    small = placed.where(F.col("k") <= few).select("part", "doc", "class")
+    small = small.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(_whole_parts(_small_pairs), "a long, b long").distinct()
+    a = nodes.select(F.col("doc").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    b = nodes.select(F.col("doc").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    near = small.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    near = near.where(_within_bound(percent)("n_a", "sketch_a", "n_b", "sketch_b") >= 0).select("a", "b")
+
+    large = placed.where(F.col("k") > few).withColumn("blocks", F.ceil(F.col("k") / block).cast("long"))
+    large = large.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    cells = large.select("part", "doc", "class", "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.withColumn("cell", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     rows = cells.select("part", "cell", side.cast("long").alias("side"), "doc", "class").join(nodes, "doc")
     rows = rows.select("part", "cell", "side", "doc", "class", F.col("n_shingles").alias("n"), "sketch")
     spread = rows.repartition("part", "cell").sortWithinPartitions("part", "cell")
-    return spread.mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
+    return near.unionByName(spread.mapInArrow(_cross_pairs(percent), "a long, b long")).distinct()
 
 
 def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counters: int = COUNTERS, salt_rank: int = SALT_RANK) -> DataFrame:
