@@ -36,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.cumprod(steps)
@@ -90,7 +90,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> Iterator[np.ndarray]:
             yield runs[:0]
 
 
-def text_blocks(ids: list, texts: list, limit: int = 1 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def text_blocks(ids: list, texts: list, limit: int = 1 << 18) -> Iterator[tuple[list, list[bytes]]]:
     """Rows in blocks of about ``limit`` bytes, so that arrays over a block stay small.
     A longer text is a block of its own; a null text is empty."""
     ids_now: list = []
