@@ -286,9 +286,15 @@ def extraction_prompts(t: Tables) -> DataFrame:
 # --- model boundaries -----------------------------------------------------------------
 
 
-@query("hash_embed")
+@query(
+    "hash_embed",
+    """SELECT doc_id, 256 AS dim,
+      CASE WHEN len(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+    FROM documents""",
+)
 def hash_embed(t: Tables) -> DataFrame:
-    """Vectors from hashed words: a fixed hash of this engine, so rows only."""
+    """Size and length of vectors from hashed words. Which word meets which number is a fixed hash
+    of this engine, so the twin states what must hold of any: unit length unless wordless."""
     out = models.hash_embed(t.spread("documents").select("doc_id", "text"), "text")
     return out.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
 

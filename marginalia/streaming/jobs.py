@@ -1,8 +1,9 @@
 """Incremental jobs as Structured Streaming queries.
 
 Every job reads a file source, runs until the files present are used up, and keeps its
-checkpoint and output in the shared folder. Batches are written under their number, so a
-repeated batch replaces its own output.
+checkpoint and output in a folder: the one the caller names (``at``), so that a later run goes on
+where the last one stopped and reads only new files, or else a new one in the shared folder.
+Batches are written under their number, so a repeated batch replaces its own output.
 """
 
 from __future__ import annotations
@@ -60,8 +61,21 @@ def stored(spark: SparkSession, schema: T.StructType | str, path: str, base: str
     return (reader.option("basePath", base) if base else reader).parquet(path)
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    checkpoint = shared_dir(stream.sparkSession, "checkpoint")
+def _places(spark: SparkSession, purpose: str, at: str | None) -> tuple[str, str]:
+    """Folders of a job's output and checkpoint."""
+    base = at or shared_dir(spark, purpose)
+    return f"{base}/output", f"{base}/checkpoint"
+
+
+def _last_batch(spark: SparkSession, root: str) -> int:
+    """Number of the newest batch written under a folder, or -1."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+    return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=-1)
+
+
+def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -76,15 +90,15 @@ def _batch_path(root: str, number: int) -> str:
     return f"{root}/batch={number}"
 
 
-def collect_updates(stream: DataFrame, keys: list[str], purpose: str, mode: str = "update") -> DataFrame:
+def collect_updates(stream: DataFrame, keys: list[str], purpose: str, mode: str = "update", at: str | None = None) -> DataFrame:
     """Run a stateful aggregation and return the last emitted row of every key."""
     spark = stream.sparkSession
-    root = shared_dir(spark, purpose)
+    root, checkpoint = _places(spark, purpose, at)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(root, number))
 
-    run_batches(stream, write, mode)
+    run_batches(stream, write, checkpoint, mode)
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     emitted = stored(spark, schema, root, root)
     values = [c for c in stream.columns if c not in keys]
@@ -92,14 +106,14 @@ def collect_updates(stream: DataFrame, keys: list[str], purpose: str, mode: str
     return emitted.groupBy(*keys).agg(last.alias("_v")).select(*keys, "_v.*")
 
 
-def collect_appended(stream: DataFrame, purpose: str) -> DataFrame:
+def collect_appended(stream: DataFrame, purpose: str, at: str | None = None) -> DataFrame:
     """Run an append-only stream into a parquet sink and return the sink's rows."""
     spark = stream.sparkSession
-    root = shared_dir(spark, purpose)
+    root, checkpoint = _places(spark, purpose, at)
     query = (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("checkpointLocation", shared_dir(spark, "checkpoint"))
+        .option("checkpointLocation", checkpoint)
         .option("path", root)
         .trigger(availableNow=True)
         .start()
@@ -152,54 +166,54 @@ def deduplicated(captures: DataFrame, text: str, horizon: str) -> DataFrame:
     return hashed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def keep_last(messages: DataFrame, keep: int, purpose: str = "keep-last") -> DataFrame:
+def keep_last(messages: DataFrame, keep: int, purpose: str = "keep-last", at: str | None = None) -> DataFrame:
     """Newest ``keep`` messages per conversation, carried from batch to batch.
 
     Each batch merges with the rows kept by the batch before; only kept rows are carried on.
     """
     spark = messages.sparkSession
-    root = shared_dir(spark, purpose)
-    last = {"batch": -1}
+    root, checkpoint = _places(spark, purpose, at)
 
     def merge(batch: DataFrame, number: int) -> None:
         seen = batch
         if number > 0:
             seen = seen.unionByName(spark.read.schema(messages.schema).parquet(_batch_path(root, number - 1)))
         conversations.pruned(seen, keep).write.mode("overwrite").parquet(_batch_path(root, number))
-        last["batch"] = number
 
-    run_batches(messages, merge)
-    return stored(spark, messages.schema, _batch_path(root, last["batch"]))
+    run_batches(messages, merge, checkpoint)
+    return stored(spark, messages.schema, _batch_path(root, _last_batch(spark, root)))
 
 
-def ingest(files: DataFrame, tracker: DataFrame, purpose: str = "ingest") -> DataFrame:
+def ingest(files: DataFrame, tracker: DataFrame, purpose: str = "ingest", at: str | None = None) -> DataFrame:
     """Tracker after all batches of file states (note_path, mtime, hash, chunk_count, deleted).
 
     A batch carries only files that were touched; files it does not mention stay as they are.
     """
     spark = files.sparkSession
-    root = shared_dir(spark, purpose)
-    last = {"path": _batch_path(root, -1)}
-    tracker.write.parquet(last["path"])
+    root, checkpoint = _places(spark, purpose, at)
+    if _status(spark, f"{root}/start") is None:
+        tracker.write.parquet(f"{root}/start")
+
+    def before(number: int) -> str:
+        return _batch_path(root, number) if number >= 0 else f"{root}/start"
 
     def apply(batch: DataFrame, number: int) -> None:
-        stored = spark.read.schema(tracker.schema).parquet(_batch_path(root, number - 1))
-        named = stored.join(batch.select("note_path").distinct(), "note_path", "left_semi")
+        known = spark.read.schema(tracker.schema).parquet(before(number - 1))
+        named = known.join(batch.select("note_path").distinct(), "note_path", "left_semi")
         present = batch.where(~F.col("deleted"))
         found = changes.classify(present, named)
         counts = present.select("note_path", "chunk_count")
-        after = changes.apply_to_tracker(stored, found, present.drop("chunk_count", "deleted"), counts, f"batch-{number}")
-        last["path"] = _batch_path(root, number)
-        after.select(*tracker.columns).write.mode("overwrite").parquet(last["path"])
+        after = changes.apply_to_tracker(known, found, present.drop("chunk_count", "deleted"), counts, f"batch-{number}")
+        after.select(*tracker.columns).write.mode("overwrite").parquet(_batch_path(root, number))
 
-    run_batches(files, apply)
-    return spark.read.schema(tracker.schema).parquet(last["path"])
+    run_batches(files, apply, checkpoint)
+    return spark.read.schema(tracker.schema).parquet(before(_last_batch(spark, root)))
 
 
-def inbox(replies: DataFrame, purpose: str = "inbox") -> tuple[DataFrame, DataFrame]:
+def inbox(replies: DataFrame, purpose: str = "inbox", at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split captured replies into processed and failed rows, two sinks per batch."""
     spark = replies.sparkSession
-    root = shared_dir(spark, purpose)
+    root, checkpoint = _places(spark, purpose, at)
     columns = ["note_path", "summary"]
 
     def split(batch: DataFrame, number: int) -> None:
@@ -209,7 +223,7 @@ def inbox(replies: DataFrame, purpose: str = "inbox") -> tuple[DataFrame, DataFr
             _batch_path(f"{root}/failed", number)
         )
 
-    run_batches(replies, split)
+    run_batches(replies, split, checkpoint)
     good = stored(spark, "note_path string, summary string, batch long", f"{root}/processed")
     bad = stored(spark, "note_path string, raw string, batch long", f"{root}/failed")
     return good.drop("batch"), bad.drop("batch")

@@ -119,3 +119,15 @@ def test_sessions_join_stretches_of_activity(spark):
     got = conversations.sessions(df, "60 minutes").orderBy("session_start").collect()
     raw = df.groupBy("user_id", F.session_window("ts", "60 minutes").alias("w")).count().orderBy("w").collect()
     assert [(r.session_start, r.session_end, r.n) for r in got] == [(r.w.start, r.w.end, r["count"]) for r in raw] and len(raw) > 2
+
+
+def test_a_second_run_reads_only_new_files(spark, tmp_path):
+    schema = "conversation_id long, turn long, role string, text string"
+    folder, at = str(tmp_path / "in"), str(tmp_path / "job")
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: sorted((r.conversation_id, r.turn) for r in jobs.keep_last(jobs.source(spark, folder, spark.createDataFrame([], schema).schema), 2, at=at).collect())
+    write([(1, 1, "user", "a"), (1, 2, "user", "b"), (2, 1, "user", "c")])
+    assert run() == [(1, 1), (1, 2), (2, 1)]
+    assert run() == [(1, 1), (1, 2), (2, 1)]  # nothing new
+    write([(1, 3, "user", "d"), (3, 1, "user", "e")])
+    assert run() == [(1, 2), (1, 3), (2, 1), (3, 1)]
