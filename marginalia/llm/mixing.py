@@ -96,7 +96,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, cap: float = CAP) -
     no rows. Rows that repeat count each; ties in size go by doc_id, null first. Further columns
     are not carried.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     order = ranked(sized, "source", ["size", F.col("doc_id").asc_nulls_first()])
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources, weights, cap).withColumnRenamed("source", "_source")
@@ -124,15 +124,18 @@ def emit(docs: DataFrame, seed: str = "mix", weights=WEIGHTS, cap: float = CAP)
     """
     keys = ["doc_id", "source", "size"]
     plan = mix(docs, seed, weights, cap).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n_rows"))
-    plan = plan.select(*[F.col(k).alias(f"plan_{k}") for k in keys], "copies", "n_rows")
+    plan = materialize(plan.select(*[F.col(k).alias(f"plan_{k}") for k in keys], "copies", "n_rows"), "mix-plan")
     # the columns of docs travel in one struct, so their names cannot clash with those here
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
     same = F.col("plan_doc_id").eqNullSafe(F.col("doc_id")) & F.col("plan_source").eqNullSafe(F.col("source"))
-    joined = sized.join(plan, same & (F.col("plan_size") == F.col("size")))
-    single = joined.where("n_rows = 1").select("row", F.col("copies").alias("mine"))
-    key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source", F.col("size").cast("string")))
-    shared = joined.where("n_rows > 1").select("row", "copies", "n_rows", key.alias("key"), F.col("row.text").alias("text"))
-    base, rest = F.floor(F.col("copies") / F.col("n_rows")), F.col("copies") % F.col("n_rows")
-    mine = base + F.when(F.col("rank_in_group") < rest, 1).otherwise(0)
-    both = single.unionByName(ranked(shared, "key", ["text"]).select("row", mine.alias("mine"))).where("mine > 0")
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("mine").cast("int")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    same &= F.col("plan_size") == F.col("size")
+    mixed = sized.join(plan.where("n_rows = 1"), same).select("row", F.col("copies").alias("mine"))
+    several = plan.where("n_rows > 1")
+    if not several.isEmpty():
+        key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source", F.col("size").cast("string")))
+        shared = sized.join(several, same).select("row", "copies", "n_rows", key.alias("key"), F.col("row.text").alias("text"))
+        base, rest = F.floor(F.col("copies") / F.col("n_rows")), F.col("copies") % F.col("n_rows")
+        mine = base + F.when(F.col("rank_in_group") < rest, 1).otherwise(0)
+        mixed = mixed.unionByName(ranked(shared, "key", ["text"]).select("row", mine.alias("mine")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("mine").cast("int")))
+    return mixed.where("mine > 0").select("row", copies).select(*[F.col("row")[c].alias(c) for c in docs.columns])

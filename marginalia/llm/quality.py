@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.words import _LOWER, _SPACE
+from marginalia.llm.words import _SPACE
 from marginalia.session import configure, materialize
 
 GOOD, BAD, ABSTAIN = 1, 2, 0
