@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import decontam, jaccard, linededup, mixing, quality
+from marginalia.llm.members import maybe_in
 from marginalia.session import configure, materialize
 
 
@@ -31,8 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of linked documents the one with the smallest doc_id stays. Rows that repeat
     a doc_id and text count once; rows without a doc_id or without words stay."""
     classes = materialize(jaccard.link_classes(docs), "classes")
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    doubtful = maybe_in(gone, "doc_id")(F.col("doc_id"))
+    checked = docs.where(doubtful).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.where(~doubtful).unionByName(checked)
     again = materialize(classes.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     if again.isEmpty():
         return kept

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
+from marginalia.llm.members import maybe_in
 from marginalia.llm.words import mix, row_blocks, shingle_sets
 from marginalia.session import configure, materialize
 
@@ -290,6 +291,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: in
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    text = text.where(maybe_in(wanted, "doc_id")(F.col("doc_id")))
     of = materialize(text.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
     first = of.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     second = of.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
