@@ -13,8 +13,9 @@ threshold are skipped, passages without any other block end there, and of the re
 can still reach the threshold are scored exactly. All items at or above the threshold are
 retrieved; nothing is cut at a number of hits.
 
-Retrieved pairs are verified: the passage must hold enough of the word triples of the item's
-question and of its answer.
+Retrieved pairs are verified by word triples. Where the items have answers, the passage must hold
+enough of the question's and enough of the answer's. Answers that are only read out of the item's
+text decide nothing alone: the triples of both sides are counted together.
 """
 
 from __future__ import annotations
@@ -49,18 +50,18 @@ def plain(text: bytes | None) -> bytes:
 
 def split_item(text: bytes, answer: bytes | None = None) -> tuple[bytes, bytes]:
     """Question and answer. Without an answer column the answer is what follows the last question
-    mark or line break, if that has three words or more, else the last quarter of the words."""
+    mark or line break, if that has three words or more; else the whole text is the question."""
     if answer is not None:
         return plain(text), plain(answer)
     cut = max(text.rstrip().rfind(b"?"), text.rstrip().rfind(b"\n"))
     if cut >= 0 and len(plain(text[cut:]).split()) >= 3 and plain(text[:cut]).split():
         return plain(text[:cut]), plain(text[cut:])
-    words = plain(text).split()
-    n = max(3, len(words) // 4)
-    return b" ".join(words[:-n]), b" ".join(words[-n:])
+    return plain(text), b""
 
 
 def grams(hashes: np.ndarray) -> np.ndarray:
+    if not len(hashes):
+        return hashes
     return np.unique(windows(hashes, GRAM) if len(hashes) >= GRAM else windows(hashes, len(hashes)))
 
 
@@ -130,6 +131,7 @@ class Index:
     question: list[np.ndarray]
     answer: list[np.ndarray]
     need: np.ndarray  # overlap asked of each item
+    together: np.ndarray  # whether it is asked of both sides counted together
     classes: list[LengthClass] = field(default_factory=list)
 
 
@@ -144,7 +146,7 @@ def build_index(items: list[tuple], df: dict[int, int], n_items: int, mean_words
     words = slices(whole, first)
     index = Index(
         [i for i, *_ in items], [grams(w) for w in slices(asked, q_first)], [grams(w) for w in slices(given, a_first)],
-        np.array([1.0 if len(w) < FEW_WORDS else OVERLAP for w in words]),
+        np.array([1.0 if len(w) < FEW_WORDS else OVERLAP for w in words]), np.array([a is None for *_, a in items], bool),
     )
     by_class: dict[int, list[int]] = {}
     for k, w in enumerate(words):
@@ -248,7 +250,9 @@ def _search_class(hashes, first, lengths, of_text, place, group: LengthClass, in
             continue
         item, passage = group.items[k], grams(hashes[a:z])
         q, w = (_overlap(g[item], passage) for g in (index.question, index.answer))
-        if min(q, w) + 1e-9 >= index.need[item]:
+        n, m = len(index.question[item]), len(index.answer[item])
+        share = (q * n + w * m) / (n + m) if index.together[item] else min(q, w)
+        if share + 1e-9 >= index.need[item]:
             yield int(doc), int(item), score, q, w
 
 
@@ -297,7 +301,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     """One row per document and test item found in it: doc_id, item_id, score (its best passage),
     question_overlap, answer_overlap and n_passages.
 
-    ``items`` has item_id, text and perhaps answer. Null and empty texts hold nothing; items
+    ``items`` has item_id, text and perhaps answer. An item without an answer of its own is found by
+    the share of its triples, question and answer counted together; a side without words has an
+    overlap of 1. Null and empty texts hold nothing; items
     without a word are never found; items that repeat are found once by id; documents that repeat
     a doc_id are taken together. Empty tables give no rows.
     """

@@ -87,3 +87,20 @@ def test_edge_rows(spark):
     assert decontam.find_leaks(docs.limit(0), items).count() == 0 and decontam.find_leaks(docs, items.limit(0)).count() == 0
     assert decontam.without_leaks(docs, items.limit(0)).count() == 6
     assert word_hashes([b""])[0].size == 0
+
+
+def test_a_changed_tail_does_not_hide_an_item(spark):
+    plain_item = "the narrow stone bridge over the eastern river was closed all winter for urgent repair work"
+    asked = "which small grey river fish swims up the stream to lay its eggs in spring ?"
+    tail = asked + " the common minnow"
+    docs = [
+        (1, plain_item.replace("urgent", "careful")), (2, " ".join(plain_item.split()[:12])), (3, asked + " the spotted minnow"),
+        (4, asked.replace("?", "? answer :") + " the common minnow"), (5, " ".join(plain_item.split()[:6]) + " and nothing more"),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(7, plain_item), (8, tail)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(d, items).collect()) == [(1, 7), (2, 7), (3, 8), (4, 8)]
+    assert [r.doc_id for r in decontam.without_leaks(d, items).collect()] == [5]
+    # an answer of its own is still asked for
+    answered = spark.createDataFrame([(8, asked, "the common minnow")], "item_id long, text string, answer string")
+    assert [r.doc_id for r in decontam.find_leaks(d, answered).collect()] == [4]
