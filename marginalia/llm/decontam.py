@@ -60,9 +60,8 @@ def split_item(text: bytes, answer: bytes | None = None) -> tuple[bytes, bytes]:
 
 
 def grams(hashes: np.ndarray) -> np.ndarray:
-    if not len(hashes):
-        return hashes
-    return np.unique(windows(hashes, GRAM) if len(hashes) >= GRAM else windows(hashes, len(hashes)))
+    """Distinct windows of a side: triples, or all its words as one if it has fewer."""
+    return np.unique(windows(hashes, min(GRAM, len(hashes)))) if len(hashes) else hashes
 
 
 @dataclass
@@ -128,8 +127,8 @@ class LengthClass:
 @dataclass
 class Index:
     item_ids: list
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
+    question: list[tuple[int, np.ndarray]]  # words of a window and the windows
+    answer: list[tuple[int, np.ndarray]]
     need: np.ndarray  # overlap asked of each item
     together: np.ndarray  # whether it is asked of both sides counted together
     classes: list[LengthClass] = field(default_factory=list)
@@ -145,7 +144,7 @@ def build_index(items: list[tuple], df: dict[int, int], n_items: int, mean_words
     slices = lambda h, f: [h[x:y] for x, y in zip(f[:-1], f[1:])]
     words = slices(whole, first)
     index = Index(
-        [i for i, *_ in items], [grams(w) for w in slices(asked, q_first)], [grams(w) for w in slices(given, a_first)],
+        [i for i, *_ in items], *([(min(GRAM, len(w)), grams(w)) for w in side] for side in (slices(asked, q_first), slices(given, a_first))),
         np.array([1.0 if len(w) < FEW_WORDS else OVERLAP for w in words]), np.array([a is None for *_, a in items], bool),
     )
     by_class: dict[int, list[int]] = {}
@@ -248,17 +247,18 @@ def _search_class(hashes, first, lengths, of_text, place, group: LengthClass, in
         has[term[a:z]] = False
         if score + 1e-9 < threshold:
             continue
-        item, passage = group.items[k], grams(hashes[a:z])
-        q, w = (_overlap(g[item], passage) for g in (index.question, index.answer))
-        n, m = len(index.question[item]), len(index.answer[item])
+        item = group.items[k]
+        q, w = (_overlap(*side[item], hashes[a:z]) for side in (index.question, index.answer))
+        n, m = (len(side[item][1]) for side in (index.question, index.answer))
         share = (q * n + w * m) / (n + m) if index.together[item] else min(q, w)
         if share + 1e-9 >= index.need[item]:
             yield int(doc), int(item), score, q, w
 
 
-def _overlap(wanted: np.ndarray, passage: np.ndarray) -> float:
-    """Share of the triples that the passage has; a side without words asks for nothing."""
-    return float(np.isin(wanted, passage).mean()) if len(wanted) else 1.0
+def _overlap(size: int, wanted: np.ndarray, passage: np.ndarray) -> float:
+    """Share of the windows of ``size`` words that the passage has; a side without words asks for
+    nothing."""
+    return float(np.isin(wanted, windows(passage, size)).mean()) if len(wanted) else 1.0
 
 
 def shards(items: DataFrame) -> Iterator[Index]:

@@ -104,3 +104,14 @@ def test_a_changed_tail_does_not_hide_an_item(spark):
     # an answer of its own is still asked for
     answered = spark.createDataFrame([(8, asked, "the common minnow")], "item_id long, text string, answer string")
     assert [r.doc_id for r in decontam.find_leaks(d, answered).collect()] == [4]
+
+
+def test_sides_of_one_or_two_words_and_none(spark):
+    answered = [(1, "Who sings? ", "the old miller of the northern valley"), (2, "name the largest city on the western shore", "Lisbon"), (3, "the grey heron stands in shallow water at dawn", ""),
+                (4, "only", "yes")]
+    bare = [(5, "Small birds", None), (6, "Two words\nthen a longer passage about the harvest and the mill", None), (7, "zinc", None)]
+    docs = [(i, f"Some talk. {q} {a or ''} More talk.") for i, q, a in answered + bare] + [(11, "Who the old miller of the northern valley"), (12, answered[1][1] + " Porto"), (13, "birds small")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(answered + bare, "item_id long, text string, answer string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(d, items).collect()) == [(k, k) for k in range(1, 8)]
+    assert sorted(r.doc_id for r in decontam.without_leaks(d, items).collect()) == [11, 12, 13]
