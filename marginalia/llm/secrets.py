@@ -5,8 +5,8 @@ Parts are found in every whole text, each kind leftmost and without overlaps:
 * sure secrets, reported wherever they stand: ``assign`` (a value given to a secret's name),
   ``access`` (an access key id) and ``hex`` (a long run of hexadecimal digits);
 * weak parts, which mean nothing alone: ``ident`` (a value given to a user, client or account
-  name), ``weakval`` (a long mixed value given to some other name, or standing alone) and
-  ``endpoint`` (a URL with a scheme that services use).
+  name), ``weakval`` (a mixed value of 16 characters or more, however long, given to some other
+  name or standing alone) and ``endpoint`` (a URL with a scheme that services use).
 
 A scope is the stretch of text within ``reach`` code points of a part. Intervals of parts that meet
 in a scope are linked: an identifier is reported if a secret or weak value stands in its scope, a
@@ -20,6 +20,8 @@ nor pairs are shuffled and a hot source is no burden.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +36,16 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 IDENT = r"""(?i:user(?:_?name|_?id)?|login|client_?id|account_?(?:id|name)?|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})"""
-WEAKVAL = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,63}[0-9])(?=[0-9+/_=-]{0,63}[A-Za-z])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])"
+WEAKVAL = r"[A-Za-z0-9+/_=-]{16,}+"  # whole runs; that they hold a digit and a letter is asked afterwards
 ENDPOINT = r"""(?:https?|s3|ftp|sftp|ssh|amqp|redis|mongodb|mysql|postgres(?:ql)?|jdbc:[a-z]+)://[^\s"'<>]{4,}"""
 
 
-def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
+def _mixed(value: Column) -> Column:
+    """Length of a value that has a digit and a letter, else 0."""
+    return F.when(value.rlike("[0-9]") & value.rlike("[A-Za-z]"), F.length(value)).otherwise(0)
+
+
+def _spans(text: Column, pattern: str, kind: str, group: int = 0, size: Callable[[Column], Column] = F.length) -> Column:
     """Array of (start, end, kind, size of the group) of all matches: a match begins after the
     pieces and matches before it."""
     p = F.lit(pattern)
@@ -47,9 +54,9 @@ def _spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
         F.slice(between, 1, F.size(whole)), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"))
     )
     if group:
-        inner = F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length)
+        inner = F.transform(F.regexp_extract_all(text, p, F.lit(group)), size)
     else:
-        inner = F.transform(whole, F.length)
+        inner = F.transform(whole, size)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     placed = F.aggregate(
         lengths,
@@ -106,7 +113,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     partners = F.concat("_ident", "_access", "_endpoint")
     none = F.array().cast("array<struct<start:int,end:int,kind:string,inner:int>>")
     parts = parts.withColumn("_partners", partners).withColumn(
-        "_weakval", F.when(F.size("_partners") > 0, F.filter(_spans(text, WEAKVAL, "weakval"), outside)).otherwise(none)
+        "_weakval", F.when(F.size("_partners") > 0, F.filter(_spans(text, WEAKVAL, "weakval", size=_mixed), lambda x: (x["inner"] > 0) & outside(x))).otherwise(none)
     )
     parts = parts.withColumn("_values", F.concat("_assign", "_hex", "_weakval"))
     parts = parts.withColumn("_value_cells", _cells(F.col("_values"), reach)).withColumn("_partner_cells", _cells(F.col("_partners"), reach))
