@@ -39,6 +39,7 @@ FEW_WORDS = 8  # items of fewer words are matched only by all their triples
 NON_ESSENTIAL = 0.2
 BLOCK_ITEMS = 8
 SHARD_BYTES = 16 << 20
+CELLS = 1 << 20
 _SMALLEST_CLASS = 64
 # letters, digits and all bytes beyond ASCII make words; the rest separates them
 _PLAIN = bytes(b if b >= 128 or bytes([b]).isalnum() else 32 for b in range(256))
@@ -100,13 +101,11 @@ class LengthClass:
     by_block: Postings
     by_item: Postings
     block_of: np.ndarray
+    place_of: np.ndarray  # place of an item in its block
+    block_items: np.ndarray  # items of each block, filled up with -1
     block_rest: np.ndarray  # largest sum of non-essential weights of an item
     item_rest: np.ndarray
 
-    @property
-    def n_items(self) -> int:
-        return len(self.items)
-
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word; the top bits of a hash narrow the search to a few entries."""
         if not hasattr(self, "_first"):
@@ -186,13 +185,17 @@ def _length_class(segment, members, words, df, n_items, mean_words) -> LengthCla
                 load[k] += y
     block_of = np.zeros(len(members), np.int64)
     block_of[order] = np.arange(len(members)) // BLOCK_ITEMS
+    place_of = np.zeros(len(members), np.int64)
+    place_of[order] = np.arange(len(members)) % BLOCK_ITEMS
+    block_items = np.full((int(block_of.max()) + 1, BLOCK_ITEMS), -1)
+    block_items[block_of, place_of] = np.arange(len(members))
     entries = [(int(x), k, float(y)) for k, (t, w) in enumerate(zip(terms, weights)) for x, y in zip(t, w) if essential[x]]
     block_rest = np.zeros(int(block_of.max()) + 1)
     np.maximum.at(block_rest, block_of, load)
     return LengthClass(
         segment, vocabulary, np.append(essential, False), np.array(members), list(zip(terms, weights)),
         Postings.build(len(vocabulary), [(t, int(block_of[k]), w) for t, k, w in entries]),
-        Postings.build(len(vocabulary), entries), block_of, block_rest, load,
+        Postings.build(len(vocabulary), entries), block_of, place_of, block_items, block_rest, load,
     )
 
 
@@ -208,11 +211,51 @@ def search(texts: list[bytes], index: Index, threshold: float = THRESHOLD) -> It
         yield from _search_class(hashes, first, lengths, of_text, place, group, index, threshold)
 
 
+def _candidates(seg, t, follows, group: LengthClass, threshold: float) -> Iterator[tuple[int, int]]:
+    """(passage, item of the class) of all that can reach the threshold. ``seg`` and ``t`` are the
+    essential words of each segment; ``follows`` says whether the next segment is of the same text.
+    Segments are taken in slices of about ``CELLS`` cells of blocks and postings, each with the
+    segment after it, and only items of blocks that passed are looked at."""
+    n_segments, n_blocks = len(follows), len(group.block_rest)
+    many = np.diff(group.by_item.starts)[t]
+    cost = np.cumsum(n_blocks + np.bincount(seg, many, n_segments))
+    lo = 0
+    while lo < n_segments:
+        hi = max(lo + 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + CELLS, "right")))
+        rows = min(hi + 1, n_segments) - lo
+        a, z = np.searchsorted(seg, [lo, lo + rows])
+        own, words = seg[a:z] - lo, t[a:z]
+        at, many = group.by_block.of(words)
+        bound = np.bincount(np.repeat(own, many) * n_blocks + group.by_block.target[at], group.by_block.weight[at], rows * n_blocks)
+        bound = bound.reshape(rows, n_blocks)
+        bound[:-1] += bound[1:] * follows[lo : lo + rows - 1, None]
+        passed = bound + group.block_rest + 1e-9 >= threshold
+        passed[hi - lo :] = False
+        passage, block = np.nonzero(passed)
+        if len(passage):
+            slot = np.full((rows + 1, n_blocks), -1)  # row 0 is the passage before the slice
+            slot[1:][passed] = np.arange(len(passage))
+            ahead = np.append(False, follows[lo : lo + rows - 1])  # rows that end the passage before
+            alive = passed.any(1)
+            alive[1:] |= alive[:-1] & ahead[1:]
+            pick = np.flatnonzero(alive[own])
+            at, many = group.by_item.of(words[pick])
+            row, item, weight = np.repeat(own[pick], many), group.by_item.target[at], group.by_item.weight[at]
+            sums = np.zeros(len(passage) * BLOCK_ITEMS)
+            for x in (slot[row + 1, group.block_of[item]], np.where(ahead[row], slot[row, group.block_of[item]], -1)):
+                sums += np.bincount((x * BLOCK_ITEMS + group.place_of[item])[x >= 0], weight[x >= 0], len(sums))
+            items = group.block_items[block]
+            can = (sums.reshape(items.shape) + group.item_rest[items] + 1e-9 >= threshold) & (items >= 0)
+            for n, m in np.argwhere(can):
+                yield lo + int(passage[n]), int(items[n, m])
+        lo = hi
+
+
 def _search_class(hashes, first, lengths, of_text, place, group: LengthClass, index: Index, threshold: float):
     segments = -(-lengths // group.segment)
     offset = np.concatenate([[0], np.cumsum(segments)])
     term = group.numbers(hashes)
-    n_terms, n_blocks, n_segments = len(group.vocabulary), len(group.block_rest), int(offset[-1])
+    n_terms, n_segments = len(group.vocabulary), int(offset[-1])
     counted = np.flatnonzero(group.essential[term])
     segment = offset[of_text[counted]] + place[counted] // group.segment
     pairs = np.sort(segment * (n_terms + 1) + term[counted])
@@ -222,22 +265,8 @@ def _search_class(hashes, first, lengths, of_text, place, group: LengthClass, in
     text_of = np.repeat(np.arange(len(segments)), segments)
     follows[:-1] = text_of[1:] == text_of[:-1]
 
-    def bounds(postings: Postings, width: int, pick: np.ndarray) -> np.ndarray:
-        """Sum of the weights of a passage's essential words, by block or by item."""
-        at, many = postings.of(t[pick])
-        own = np.bincount(np.repeat(seg[pick], many) * width + postings.target[at], postings.weight[at], n_segments * width)
-        own = own.reshape(n_segments, width)
-        own[:-1] += own[1:] * follows[:-1, None]
-        return own
-
-    passed = bounds(group.by_block, n_blocks, slice(None)) + group.block_rest + 1e-9 >= threshold
-    alive = passed.any(1)
-    alive[1:] |= alive[:-1] & follows[:-1]  # the second segment of a passage
-    pick = np.flatnonzero(alive[seg])
-    items = bounds(group.by_item, group.n_items, pick) + group.item_rest + 1e-9 >= threshold
-    items &= passed[:, group.block_of]
     has = np.zeros(n_terms + 1, bool)
-    for s, k in np.argwhere(items):
+    for s, k in _candidates(seg, t, follows, group, threshold):
         doc = text_of[s]
         a = first[doc] + (s - offset[doc]) * group.segment
         z = min(a + 2 * group.segment, first[doc + 1])

@@ -1,6 +1,8 @@
 """Leaks found equal those of scoring every passage against every item."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 
@@ -115,3 +117,18 @@ def test_sides_of_one_or_two_words_and_none(spark):
     items = spark.createDataFrame(answered + bare, "item_id long, text string, answer string")
     assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(d, items).collect()) == [(k, k) for k in range(1, 8)]
     assert sorted(r.doc_id for r in decontam.without_leaks(d, items).collect()) == [11, 12, 13]
+
+
+def test_tables_of_bounds_do_not_grow_with_text_times_items(monkeypatch):
+    rng = random.Random(5)
+    items = [(k, " ".join(f"w{rng.randrange(4000)}" for _ in range(9)).encode(), None) for k in range(5000)]
+    df = Counter(int(h) for _, t, _ in items for h in np.unique(word_hashes([t])[0]).view(np.int64))
+    index = decontam.build_index(items, df, len(items), 9.0)
+    text = b" ".join(items[rng.randrange(5000)][1] if k % 500 == 0 else b"v%d" % rng.randrange(10**6) for k in range(200_000))
+    tracemalloc.start()
+    whole = sorted(decontam.search([text, items[3][1]], index))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(whole) > 400 and peak < 200 << 20, peak
+    monkeypatch.setattr(decontam, "CELLS", 1)
+    assert sorted(decontam.search([text, items[3][1]], index)) == whole
