@@ -432,6 +432,9 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, c
         .where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct(),
         "copy-links",
     )
+    print_ = F.struct("f1", "f2", "n_shingles")
+    mixed = copies.groupBy(F.col("doc_id").alias("a")).agg(F.min(print_).alias("x"), F.max(print_).alias("y"))
+    mixed = materialize(mixed.where("x <> y").select("a"), "mixed-ids")
 
     rank = part_ranks(slim, size, percent, counters)
     ranks = spark.sparkContext.broadcast(rank)
@@ -439,7 +442,7 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, c
     buckets = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     packed = slim.mapInArrow(_rare_parts(size, percent, ranks, buckets, salt_rank), "bucket long, keys binary, docs binary")
     listed = packed.repartition("bucket").mapInArrow(_shared_parts(ranks, salt_rank), "part long, least long, doc long")
-    shared = materialize(_by_first_copy(_with_smallest(materialize(listed, "parts")), same), "shared-parts")
+    shared = materialize(_by_first_copy(_with_smallest(materialize(listed, "parts")), same, mixed), "shared-parts")
 
     nodes = signed.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n_shingles", "f1", "f2", "sketch")
     nodes = nodes.dropDuplicates(["doc", "n_shingles", "f1", "f2"]).drop("f1", "f2")
@@ -465,9 +468,10 @@ def _with_smallest(listed: DataFrame) -> DataFrame:
     return listed.where("least <> doc").unionByName(heads.join(top, "part").where("least <> doc").select("part", "least", "doc"))
 
 
-def _by_first_copy(shared: DataFrame, same: DataFrame) -> DataFrame:
-    """The first copy of a text stands for all of them."""
-    first = same.groupBy("a").agg(F.min("b").alias("b"))
+def _by_first_copy(shared: DataFrame, same: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The first copy of a text stands for all of them, but not for documents ``a`` of ``mixed``,
+    which hold other sets too."""
+    first = same.join(mixed, "a", "left_anti").groupBy("a").agg(F.min("b").alias("b"))
     for column in ("doc", "least"):
         shared = shared.join(first, F.col(column) == F.col("a"), "left").withColumn(column, F.coalesce("b", column)).drop("a", "b")
     return shared.where("doc <> least")

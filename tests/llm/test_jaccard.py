@@ -84,3 +84,11 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_classes(df).collect()), key=str)
     assert got == sorted([(5, 2, 5), (5, 2, 5), (9, 2, 5), (None, 2, None), (2, 0, 2), (3, 0, 3), (4, 0, 4), (8, 59_996, 7), (7, 59_997, 7)], key=str)
     assert jaccard.link_classes(df.limit(0)).count() == 0
+
+
+def test_id_with_two_texts_keeps_near_links_of_both(spark):
+    x, y = " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    rows = [(1, x), (5, x), (5, y), (6, y + " z"), (7, "v " + x), (9, " ".join(f"u{k}" for k in range(60)))]
+    got = jaccard.link_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert {r.component_id for r in got} == {1, 9}
