@@ -136,7 +136,8 @@ def _new_sets(batches, size: int, held: int = 200_000) -> Iterator[tuple[int, np
 
 def _counts(size: int, percent: int, counters: int):
     def run(batches):
-        """Counts of this task's parts, in one byte each, by slices of the array of counters."""
+        """Counts of this task's parts by slices of the array of counters: one byte each, and the
+        places and rest of those that a byte does not hold."""
         count = np.zeros(counters, np.uint32)
         held, waiting = [], 0
 
@@ -153,10 +154,14 @@ def _counts(size: int, percent: int, counters: int):
                 held, waiting = [], 0
         if held:
             add()
-        small = np.minimum(count, 255).astype(np.uint8).reshape(-1, _SLICE)
-        used = np.flatnonzero(small.any(1))
+        count = count.reshape(-1, _SLICE)
+        used = np.flatnonzero(count.any(1))
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([small[k].tobytes() for k in used], pa.binary())], ["slice", "counts"])
+            small = [np.minimum(count[k], 255).astype(np.uint8).tobytes() for k in used]
+            places = [np.flatnonzero(count[k] > 255).astype(np.uint32) for k in used]
+            rest = [(count[k][p] - np.uint32(255)).tobytes() for k, p in zip(used, places)]
+            columns = [pa.array(x, pa.binary()) for x in (small, [p.tobytes() for p in places], rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *columns], ["slice", "counts", "places", "rest"])
 
     return run
 
@@ -164,9 +169,10 @@ def _counts(size: int, percent: int, counters: int):
 def _sums(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for k, data, places, rest in zip(*(c.to_pylist() for c in batch.columns)):
             total.setdefault(k, np.zeros(_SLICE, np.int64))
             total[k] += np.frombuffer(data, np.uint8)
+            total[k][np.frombuffer(places, np.uint32)] += np.frombuffer(rest, np.uint32)
     if total:
         ranks = [np.minimum(254, np.log2(v + 1) * RANKS_PER_BIT).astype(np.uint8).tobytes() for v in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(ranks, pa.binary())], ["slice", "ranks"])
@@ -175,7 +181,7 @@ def _sums(batches):
 def part_ranks(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counters: int = COUNTERS) -> np.ndarray:
     """How common parts are, as one byte for each of a fixed number of counters (4 MiB whatever
     the input). All documents are counted; parts that share a counter look as common together."""
-    slices = slim.mapInArrow(_counts(size, percent, counters), "slice long, counts binary")
+    slices = slim.mapInArrow(_counts(size, percent, counters), "slice long, counts binary, places binary, rest binary")
     sums = slices.repartition("slice").mapInArrow(_sums, "slice long, ranks binary").toArrow()
     ranks = np.zeros((counters // _SLICE, _SLICE), np.uint8)
     for k, data in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist()):

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marginalia.llm import jaccard
@@ -92,3 +93,18 @@ def test_id_with_two_texts_keeps_near_links_of_both(spark):
     got = jaccard.link_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
     assert {r.component_id for r in got} == {1, 9}
+
+
+def test_counters_hold_more_than_a_byte():
+    texts = [f"one two three four five w{k}".encode() for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "text"])
+    counted = [b for _ in range(3) for b in jaccard._counts(5, 75, 1 << 14)([batch])]
+    (sums,) = jaccard._sums(counted)
+    true = np.zeros(1 << 14, np.int64)
+    for _, own in jaccard._new_sets([batch], 5):
+        for parts, _ in jaccard.layouts(len(own), 75):
+            keys, empty = jaccard.part_keys(own, parts)
+            np.add.at(true, (keys[~empty] & np.uint64((1 << 14) - 1)).astype(np.int64), 3)
+    assert true.max() > 3 * 255
+    ranks = np.frombuffer(sums.column(1)[0].as_py(), np.uint8)
+    assert (ranks == np.minimum(254, np.log2(true + 1) * jaccard.RANKS_PER_BIT).astype(np.uint8)).all()
