@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import chat, decontam, jaccard, licences, linededup, mixing, pii, quality, secrets, toxicity
+from marginalia.llm import chat, decontam, jaccard, licences, linededup, merkle, mixing, pii, quality, secrets, toxicity
 from marginalia.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,77 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+MERKLE_SQL = r"""
+WITH RECURSIVE spelled AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_transform(list_filter(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: c <> ''), lambda c: CAST(ascii(c) AS UBIGINT)) AS bytes
+  FROM documents
+), sums AS (
+  SELECT *, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda k: k::UBIGINT)), lambda c, k: xor(c >> 1, 3988292384::UBIGINT * (c & 1::UBIGINT))))) AS crc
+  FROM spelled
+), leaves AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen(CAST(n_chars + changed AS VARCHAR)) || ':' || (n_chars + changed), '-') || tail) AS candidate
+  FROM (SELECT *, CASE WHEN doc_id IS NOT NULL AND crc % 7 = 0 THEN 1 ELSE 0 END AS changed FROM sums)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, level, place // 2
+), tops AS (
+  SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, place, subroot AS digest, n FROM tops
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(n) + 1) // 2
+  FROM upper WHERE n > 1 GROUP BY level, place // 2
+), root AS (
+  SELECT digest AS root, level AS height FROM upper WHERE n = 1
+), folded AS (
+  SELECT p.doc_id, p.lang, p.leaf, p.place AS start, p.place, 0 AS level, p.candidate AS node, '' AS proof, t.height, t.place AS top, t.subroot
+  FROM placed p JOIN tops t ON p.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT f.doc_id, f.lang, f.leaf, f.start,
+    CASE WHEN f.level + 1 = f.height THEN f.top ELSE f.place // 2 END, f.level + 1,
+    sha256(CASE WHEN f.place % 2 = 1 THEN coalesce(s.digest, '') || f.node ELSE f.node || coalesce(s.digest, '') END),
+    f.proof || coalesce(s.digest, ''), f.height, f.top, f.subroot
+  FROM folded f LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.place = xor(f.place, 1)
+  WHERE f.level < f.height
+), crossed AS (
+  SELECT doc_id, leaf, lang, start, top AS place, 0 AS level, node, proof, subroot FROM folded WHERE level = height
+  UNION ALL
+  SELECT c.doc_id, c.leaf, c.lang, c.start, c.place // 2, c.level + 1,
+    sha256(CASE WHEN c.place % 2 = 1 THEN coalesce(s.digest, '') || c.node ELSE c.node || coalesce(s.digest, '') END),
+    c.proof || coalesce(s.digest, ''), c.subroot
+  FROM crossed c LEFT JOIN upper s ON s.level = c.level AND s.place = xor(c.place, 1), root r
+  WHERE c.level < r.height
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM crossed, root WHERE level = root.height
+"""
+
+
+@_register("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = {"n_chars": F.when(touched, F.try_add(F.col("n_chars"), F.lit(1))).otherwise(F.col("n_chars"))}
+    candidate = merkle.leaf_digest(*[changed.get(f, F.col(f)) for f in merkle.FIELDS])
+    proved = merkle.proofs(merkle.build(docs, carry={"candidate": candidate}))
+    return proved.select(
+        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root",
+        merkle.path_digest(F.col("path")).alias("proof_sha256"),
+        merkle.fold(F.col("candidate"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES | {"pipeline": corpus_pipeline.run}
 
