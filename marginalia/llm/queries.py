@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import chat, decontam, jaccard, licences, linededup, merkle, mixing, pii, quality, secrets, toxicity
+from marginalia.llm import chat, decontam, jaccard, licences, linededup, merkle, mixing, pii, quality, secrets, shards, toxicity
 from marginalia.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,6 +253,45 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+SHARD_SQL = r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(b::UBIGINT, list_transform(range(8), lambda k: k::UBIGINT)),
+    lambda c, k: xor(c >> 1, 3988292384::UBIGINT * (c & 1::UBIGINT))) ORDER BY b) AS t
+  FROM range(256) r(b)
+), sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS grp,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+      list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::UBIGINT)),
+      lambda crc, b: xor(crc >> 8, t[(1 + (xor(crc, b) & 255::UBIGINT))::BIGINT])))::BIGINT AS text_crc32
+  FROM documents, crc_table
+), whole AS (
+  SELECT sum(size)::BIGINT AS volume, count(*) AS n,
+    greatest(1, least(greatest(192, (count(*) + 999999) // 1000000), (count(*) + 255) // 256)) AS ranges
+  FROM sized
+), summed AS (
+  SELECT *, row_number() OVER o - 1 AS place, (sum(size) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT AS upto,
+    (sum(size) OVER (PARTITION BY grp))::BIGINT AS unit, count(*) OVER (PARTITION BY grp) AS members
+  FROM sized WINDOW o AS (ORDER BY grp, doc_id NULLS FIRST, size, text_crc32)
+), united AS (
+  SELECT *, max(upto) OVER (PARTITION BY grp) AS unit_upto FROM summed
+), dealt AS (
+  SELECT *, least(23, CASE
+      WHEN members > 1 AND (unit > least(volume // 768, 2 * volume // ranges) OR members > greatest(1, 2 * n // ranges))
+      THEN (2 * upto - size) * 24 // (2 * volume) ELSE (2 * unit_upto - unit) * 24 // (2 * volume) END)::INTEGER AS shard
+  FROM united, whole
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
+
+@_register("op13_sharding", SHARD_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.shard(_table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES | {"pipeline": corpus_pipeline.run}
 
