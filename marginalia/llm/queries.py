@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import chat, decontam, jaccard, licences, linededup, merkle, mixing, pii, quality, secrets, shards, toxicity
+from marginalia.llm import chat, decontam, jaccard, licences, linededup, merkle, mixing, pii, quality, secrets, shards, tokenalign, toxicity
 from marginalia.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,6 +182,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+@_register("op11_token_alignment")
+def op11(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    vocabularies = tokenalign.Vocabularies.load(f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    return tokenalign.align(_table(spark, folder, "documents"), vocabularies).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 MERKLE_SQL = r"""
 WITH RECURSIVE spelled AS (
   SELECT doc_id, lang, n_chars,
