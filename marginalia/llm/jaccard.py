@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.components import components
 from marginalia.llm.members import maybe_in
-from marginalia.llm.words import mix, row_blocks, shingle_sets
+from marginalia.llm.words import mix, row_blocks, shingle_sets, tidy
 from marginalia.session import configure, materialize
 
 SHINGLE = 5
@@ -181,8 +181,8 @@ def _sums(batches):
 def part_ranks(slim: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counters: int = COUNTERS) -> np.ndarray:
     """How common parts are, as one byte for each of a fixed number of counters (4 MiB whatever
     the input). All documents are counted; parts that share a counter look as common together."""
-    slices = slim.mapInArrow(_counts(size, percent, counters), "slice long, counts binary, places binary, rest binary")
-    sums = slices.repartition("slice").mapInArrow(_sums, "slice long, ranks binary").toArrow()
+    slices = slim.mapInArrow(tidy(_counts(size, percent, counters)), "slice long, counts binary, places binary, rest binary")
+    sums = slices.repartition("slice").mapInArrow(tidy(_sums), "slice long, ranks binary").toArrow()
     ranks = np.zeros((counters // _SLICE, _SLICE), np.uint8)
     for k, data in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist()):
         ranks[k] = np.frombuffer(data, np.uint8)
@@ -298,7 +298,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, percent: in
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     text = text.where(maybe_in(wanted, "doc_id")(F.col("doc_id")))
-    of = materialize(text.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "sets")
+    of = materialize(text.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(sets), "id long, shingles binary"), "sets")
     first = of.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     second = of.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(first, "a").join(second, "b")
@@ -398,7 +398,7 @@ def across_classes(shared: DataFrame, nodes: DataFrame, labels: DataFrame, perce
     placed = materialize(members.join(open_parts.where("x <> y").select("part", "k"), "part"), "open-parts")
 
     small = placed.where(F.col("k") <= few).select("part", "doc", "class")
-    small = small.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(_whole_parts(_small_pairs), "a long, b long").distinct()
+    small = small.repartition("part").sortWithinPartitions("part", "doc").mapInArrow(tidy(_whole_parts(_small_pairs)), "a long, b long").distinct()
     a = nodes.select(F.col("doc").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = nodes.select(F.col("doc").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
     near = small.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -412,7 +412,7 @@ def across_classes(shared: DataFrame, nodes: DataFrame, labels: DataFrame, perce
     rows = cells.select("part", "cell", side.cast("long").alias("side"), "doc", "class").join(nodes, "doc")
     rows = rows.select("part", "cell", "side", "doc", "class", F.col("n_shingles").alias("n"), "sketch")
     spread = rows.repartition("part", "cell").sortWithinPartitions("part", "cell")
-    return near.unionByName(spread.mapInArrow(_cross_pairs(percent), "a long, b long")).distinct()
+    return near.unionByName(spread.mapInArrow(tidy(_cross_pairs(percent)), "a long, b long")).distinct()
 
 
 def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, counters: int = COUNTERS, salt_rank: int = SALT_RANK) -> DataFrame:
@@ -428,7 +428,7 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, c
     spark = configure(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = materialize(
-        slim.mapInArrow(_signatures(size), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "signatures"
+        slim.mapInArrow(tidy(_signatures(size)), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "signatures"
     )
     copies = signed.where("n_shingles > 0 and doc_id is not null").drop("sketch")
     first = copies.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k"))
@@ -446,8 +446,8 @@ def link_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, c
     ranks = spark.sparkContext.broadcast(rank)
     salt_rank = max(salt_rank, int(np.mean(rank)) + 4 * RANKS_PER_BIT)
     buckets = 8 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    packed = slim.mapInArrow(_rare_parts(size, percent, ranks, buckets, salt_rank), "bucket long, keys binary, docs binary")
-    listed = packed.repartition("bucket").mapInArrow(_shared_parts(ranks, salt_rank), "part long, least long, doc long")
+    packed = slim.mapInArrow(tidy(_rare_parts(size, percent, ranks, buckets, salt_rank)), "bucket long, keys binary, docs binary")
+    listed = packed.repartition("bucket").mapInArrow(tidy(_shared_parts(ranks, salt_rank)), "part long, least long, doc long")
     shared = materialize(_by_first_copy(_with_smallest(materialize(listed, "parts")), same, mixed), "shared-parts")
 
     nodes = signed.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n_shingles", "f1", "f2", "sketch")

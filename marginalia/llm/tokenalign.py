@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.words import text_blocks
+from marginalia.llm.words import text_blocks, tidy
 from marginalia.session import materialize
 
 BLOCK = 1 << 19  # bytes of text in one set of tables; a longer text is alone
@@ -237,7 +237,7 @@ def _partial_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def pair_counts(aligned: DataFrame, n_b: int) -> DataFrame:
     """pair (``a * n_b + b``), links that hold it over all texts, and whether no pair with the same
     B id has more. A B id has at most as many pairs as A has ids, which bounds the window."""
-    partial = aligned.select("pairs", "times").mapInArrow(_partial_counts, "pair long, n long")
+    partial = aligned.select("pairs", "times").mapInArrow(tidy(_partial_counts), "pair long, n long")
     total = partial.groupBy("pair").agg(F.sum("n").alias("links"))
     most = F.max("links").over(Window.partitionBy(F.col("pair") % n_b))
     return materialize(total.withColumn("best", F.col("links") == most), "pair-counts")
@@ -289,7 +289,7 @@ def scored(aligned: DataFrame, counts: DataFrame, probed: int = PROBED) -> DataF
     hot = counts.where(F.col("links") >= cutoff).toArrow().sort_by("pair")
     arrays = [hot[c].to_numpy() for c in ("pair", "links", "best")]
     part = aligned.select("row", "pairs", "times").mapInArrow(
-        _probing(*arrays), "row long, count_sum long, n_best long, pairs array<long>, times array<int>"
+        tidy(_probing(*arrays)), "row long, count_sum long, n_best long, pairs array<long>, times array<int>"
     )
     if cutoff:
         part = materialize(part, "probed")
@@ -318,7 +318,7 @@ def align(docs: DataFrame, vocabularies: Vocabularies, probed: int = PROBED) ->
     stats = ", ".join(f"{c} long" for c in STATS)
     key_type = pa.string() if key == "string" else pa.int64() if key == "bigint" else pa.int32()
     aligned = texts.mapInArrow(
-        _aligning(vocabularies, key_type), f"doc_id {key}, {stats}, groups_sha256 string, pairs array<long>, times array<int>"
+        tidy(_aligning(vocabularies, key_type)), f"doc_id {key}, {stats}, groups_sha256 string, pairs array<long>, times array<int>"
     )
     aligned = materialize(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")
     return scored(aligned, pair_counts(aligned, n_b), probed)

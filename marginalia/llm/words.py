@@ -6,7 +6,9 @@ these six bytes and the letters A-Z are the only ones treated specially.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +110,21 @@ def text_blocks(ids: list, texts: list, limit: int = 1 << 18) -> Iterator[tuple[
         yield ids_now, texts_now
 
 
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """Give memory back to the system after each task: workers stay alive for the next one."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def row_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """Blocks of (id, text) from Arrow batches whose first two columns are id and text bytes."""
     for batch in batches:
