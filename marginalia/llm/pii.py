@@ -101,7 +101,7 @@ def spans(text: str | None, automaton: ahocorasick.Automaton | None = None) -> l
             while number_end < len(text) and "0" <= text[number_end] <= "9":
                 number_end += 1
             if at >= free["ip"] and (m := _IP.match(text, at)):
-                take("ip", at, m.end(), all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")))
+                take("ip", at, m.end(), all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))))
             if at >= free["card"] and (m := _CARD.match(text, at)):
                 digits = _DIGITS.sub("", m[0])
                 take("card", at, m.end(), 13 <= len(digits) <= 19 and luhn(digits))

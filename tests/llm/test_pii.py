@@ -59,3 +59,9 @@ def test_edge_rows(spark):
     assert pii.find_pii(df.limit(0)).count() == 0
     masked = [r.text for r in pii.mask(df).where("doc_id = 3 or doc_id = 1").collect()]
     assert sorted(masked, key=str) == ["<email>", "<email>", None]
+
+
+def test_parts_of_thousands_of_digits():
+    zeros = "0" * 5000
+    assert [k for *_, k in pii.spans(f"v {zeros}1.1.1.1 and {zeros}.1.1.256")] == ["ip"]
+    assert pii.spans("9" * 5000 + ".1.1.1") == []
