@@ -51,10 +51,10 @@ def apply_to_chunks(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) ->
     return delete(chunks, stale, "note_path").unionByName(fresh)
 
 
-def apply_to_tracker(tracker: DataFrame, changes: DataFrame, current: DataFrame, counts: DataFrame, at: str) -> DataFrame:
-    """Tracker rows after a run: processed notes are stamped, deleted ones leave."""
+def stamped(changes: DataFrame, current: DataFrame, counts: DataFrame, at: str) -> DataFrame:
+    """Tracker rows of the notes that a run processed."""
     done = changes.where(F.col("change").isin("new", "modified")).select("note_path")
-    stamped = (
+    return (
         current.join(done, "note_path", "left_semi")
         .join(counts, "note_path", "left")
         .select(
@@ -65,8 +65,12 @@ def apply_to_tracker(tracker: DataFrame, changes: DataFrame, current: DataFrame,
             F.coalesce("chunk_count", F.lit(0)).cast("long").alias("chunk_count"),
         )
     )
+
+
+def apply_to_tracker(tracker: DataFrame, changes: DataFrame, current: DataFrame, counts: DataFrame, at: str) -> DataFrame:
+    """Tracker rows after a run: processed notes are stamped, deleted ones leave."""
     left = delete(tracker, changes.where("change = 'deleted'"), "note_path")
-    return upsert(left, stamped, "note_path")
+    return upsert(left, stamped(changes, current, counts, at), "note_path")
 
 
 def stale_metadata(current: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators import indexing, notes, ranking, retrieval
+from marginalia.functions import models
+from marginalia.operators import indexing, notes, ranking, retrieval, stored_index
 from marginalia.plans.fixtures import cat, order_notes
 from marginalia.plans.registry import Tables, query
-from marginalia.session import materialize
+from marginalia.session import materialize, shared_dir
+from marginalia.sources.versions import Store
 
 FIELDS = ["note_title", "heading", "chunk_text"]
 
@@ -192,3 +194,95 @@ def reindex_full(t: Tables) -> DataFrame:
 )
 def reindex_tracker(t: Tables) -> DataFrame:
     return indexed(t).tracker.select("note_path", "mtime", "indexed_at", "chunk_count")
+
+
+# --- committed runs ---------------------------------------------------------------------
+
+
+def _sizes():
+    """A model that any engine can follow: two numbers from the length of the text."""
+
+    def make():
+        return lambda texts: [[len(s) % 97, len(s) % 89] for s in texts]
+
+    return lambda text: models.embed(text, make)
+
+
+def committed(t: Tables) -> Store:
+    """A store with both states of the folder committed one after the other."""
+    before, now = folder_states(t)
+    store = Store(t.spark, shared_dir(t.spark, "index"), indexing.tables("int"))
+    indexing.commit_run(store, before, "run-1", _sizes())
+    indexing.commit_run(store, now, "run-2", _sizes())
+    return store
+
+
+_VECTOR_SQL = f"""WITH {_after_sql('2')}, v AS (SELECT note_path, chunk_index, chunk_id, length(heading || chr(10) || chunk_text) AS n FROM after)
+    SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, (n % 97)::DOUBLE AS first, (n % 89)::DOUBLE AS second FROM v"""
+
+
+def _shown(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    return chunks.select("note_path", "chunk_index", "chunk_id").join(vectors.drop("note_path"), "chunk_id").select(
+        "note_path", "chunk_index", "chunk_id",
+        F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[1].cast("double").alias("second"),
+    )
+
+
+@query("revector", _VECTOR_SQL)
+def revector(t: Tables) -> DataFrame:
+    """Vectors of run 1, then only those of changed notes made anew."""
+    before, _ = folder_states(t)
+    old = materialize(notes.chunk(notes.parse(before.select("note_path", "content"))), "chunks")
+    after = indexed(t)
+    vectors = materialize(indexing.fresh_vectors(old, _sizes()), "vectors")
+    return _shown(after.chunks, indexing.revector(vectors, after, _sizes()))
+
+
+@query(
+    "committed_index",
+    _VECTOR_SQL.replace("SELECT note_path, chunk_index::", "SELECT note_path, indexed_at, chunk_count, chunk_index::", 1).replace(
+        "FROM v", """FROM v JOIN (SELECT 'orders/' || o_orderkey || '.md' AS note_path, 2::BIGINT AS chunk_count,
+        CASE WHEN o_orderkey % 10 IN (0, 2) THEN 'run-2' ELSE 'run-1' END AS indexed_at FROM orders) USING (note_path)""",
+    ),
+)
+def committed_index(t: Tables) -> DataFrame:
+    """Chunks, vectors and tracker of one version of the store."""
+    store = committed(t)
+    now = store.current()
+    tracker = store.read("tracker", version=now).select("note_path", "indexed_at", "chunk_count")
+    return _shown(store.read("chunks", version=now), store.read("vectors", version=now)).join(tracker, "note_path")
+
+
+_NOW_SQL = CHUNK_SQL.replace("c AS (", "c0 AS (", 1).replace(
+    "chunk AS (",
+    """c AS (SELECT * REPLACE (chunk_text || CASE WHEN chunk_index = 1 AND o_orderkey % 10 = 2 THEN chr(10) || 'Edited.' ELSE '' END AS chunk_text)
+  FROM c0 WHERE o_orderkey % 10 <> 1),
+chunk AS (""",
+    1,
+)
+
+
+@query(
+    "stored_index_topk",
+    f"""WITH {_NOW_SQL} SELECT question_id, note_path, chunk_index::INTEGER AS chunk_index, heading, score, rk::INTEGER AS rk
+    FROM lex JOIN chunk USING (chunk_id)""",
+)
+def stored_index_topk(t: Tables) -> DataFrame:
+    """BM25 from the stored index after a run has changed it."""
+    store = committed(t)
+    hits = stored_index.topk(store, asked(t), "question_id", "question").hits
+    chunks = store.read("chunks").select("chunk_id", "note_path", "chunk_index", F.array_join("heading_path", " > ").alias("heading"))
+    return hits.join(chunks, "chunk_id").drop("chunk_id")
+
+
+@query(
+    "stored_index_terms",
+    f"""WITH {_NOW_SQL} SELECT term, df, n AS n_docs, round(avgdl, 6)::DOUBLE AS avg_dl FROM dfs, st""",
+)
+def stored_index_terms(t: Tables) -> DataFrame:
+    """Document frequencies and figures that the runs kept up to date."""
+    store = committed(t)
+    now = store.current()
+    df = store.read("terms", version=now).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    n = now.props["n_docs"]
+    return df.withColumn("n_docs", F.lit(n).cast("long")).withColumn("avg_dl", F.round(F.lit(now.props["total_dl"] / max(n, 1)), 6))
