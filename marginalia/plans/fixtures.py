@@ -63,7 +63,7 @@ notes AS (
   FROM documents)"""
 
 
-def order_notes(t: Tables) -> DataFrame:
+def order_notes(t: Tables, orders: DataFrame | None = None) -> DataFrame:
     """(o_orderkey, note_path, content): one note per order with a long, a short and a long section."""
     k = F.col("o_orderkey")
     long_a = cat(
@@ -75,7 +75,7 @@ def order_notes(t: Tables) -> DataFrame:
         " write a line here, with the reason and with the name of the person spoken to.",
     )
     content = cat("# Order ", k, "\n", long_a, "\n\n## Short\nToo short to keep.\n\n### Status\n", long_b, "\n")
-    return t.spread("orders").select(
+    return (t.spread("orders") if orders is None else orders).select(
         "o_orderkey", cat("orders/", k, ".md").alias("note_path"), content.alias("content")
     )
 

@@ -5,7 +5,7 @@ The notes are those of the orders, several chunks each; a question is asked for
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import models
@@ -143,14 +143,18 @@ def chunk_hybrid_notes(t: Tables) -> DataFrame:
 _EDIT = "\nEdited."
 
 
+def edited(key: Column, content: Column) -> Column:
+    """Content of a note now, by the last digit of its order."""
+    return F.when((key % 10).isin(2, 4), F.concat(content, F.lit(_EDIT.strip()))).otherwise(content)
+
+
 def folder_states(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(files before, files now): by the last digit of the order a note is new (0), gone (1), edited
     (2), only touched (3) or edited with its old time (4)."""
     k = F.col("o_orderkey") % 10
     files = order_notes(t)
     before = files.where(k != 0).select("note_path", "content", F.lit(1).alias("mtime"))
-    edited = F.when(k.isin(2, 4), F.concat(F.col("content"), F.lit(_EDIT.strip()))).otherwise(F.col("content"))
-    now = files.where(k != 1).select("note_path", edited.alias("content"), F.when(k.isin(2, 3), 2).otherwise(1).alias("mtime"))
+    now = files.where(k != 1).select("note_path", edited(F.col("o_orderkey"), F.col("content")).alias("content"), F.when(k.isin(2, 3), 2).otherwise(1).alias("mtime"))
     return before, now
 
 
@@ -163,7 +167,7 @@ def indexed(t: Tables, full: bool = False) -> indexing.Indexed:
     return indexing.reindex(now, materialize(first.tracker, "tracker"), materialize(first.chunks, "chunks"), "run-2", full)
 
 
-def _after_sql(edited: str) -> str:
+def after_sql(edited: str) -> str:
     """Chunks after run 2, for the digits whose edit is seen."""
     return f"""{CHUNK_SQL.split('asked AS')[0].split('chunk AS')[0]}
 e AS (
@@ -175,12 +179,12 @@ after AS (
     regexp_replace(chunk_text, '\\s+', ' ', 'g'))[1:16] AS chunk_id FROM e)"""
 
 
-@query("reindex_chunks", f"WITH {_after_sql('2')} SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, chunk_text FROM after")
+@query("reindex_chunks", f"WITH {after_sql('2')} SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, chunk_text FROM after")
 def reindex_chunks(t: Tables) -> DataFrame:
     return indexed(t).chunks.select("note_path", "chunk_index", "chunk_id", "chunk_text")
 
 
-@query("reindex_full", f"WITH {_after_sql('2, 4')} SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, chunk_text FROM after")
+@query("reindex_full", f"WITH {after_sql('2, 4')} SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, chunk_text FROM after")
 def reindex_full(t: Tables) -> DataFrame:
     return indexed(t, full=True).chunks.select("note_path", "chunk_index", "chunk_id", "chunk_text")
 
@@ -217,7 +221,7 @@ def committed(t: Tables) -> Store:
     return store
 
 
-_VECTOR_SQL = f"""WITH {_after_sql('2')}, v AS (SELECT note_path, chunk_index, chunk_id, length(heading || chr(10) || chunk_text) AS n FROM after)
+_VECTOR_SQL = f"""WITH {after_sql('2')}, v AS (SELECT note_path, chunk_index, chunk_id, length(heading || chr(10) || chunk_text) AS n FROM after)
     SELECT note_path, chunk_index::INTEGER AS chunk_index, chunk_id, (n % 97)::DOUBLE AS first, (n % 89)::DOUBLE AS second FROM v"""
 
 

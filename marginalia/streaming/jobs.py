@@ -8,16 +8,21 @@ Batches are written under their number, so a repeated batch replaces its own out
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
-from marginalia.operators import changes, conversations, responses
-from marginalia.session import shared_dir
+from marginalia.operators import changes, indexing, responses
+from marginalia.session import materialize, shared_dir
+from marginalia.sources.versions import Store, Version
+from marginalia.streaming.state import KeepNewest
 
 
 def source(
@@ -86,6 +91,20 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
     query.awaitTermination()
 
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    """A session setting that a query reads as it starts."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _batch_path(root: str, number: int) -> str:
     return f"{root}/batch={number}"
 
@@ -136,6 +155,21 @@ def windowed_cost(usage: DataFrame, width: str, slide: str | None = None, delay:
     )
 
 
+def period_costs(
+    usage: DataFrame, days: tuple[int, ...] = (7, 30), delay: str = "1 day", purpose: str = "panes", at: str | None = None
+) -> DataFrame:
+    """(days, window_start, provider, cost, calls) of windows of several lengths, sliding by a day.
+
+    The stream keeps one pane per day and provider, whatever the lengths; every window is put
+    together from the panes it covers, so a row is counted once and not once for each window.
+    """
+    panes = collect_updates(windowed_cost(usage, "1 day", delay=delay), ["window_start", "provider"], purpose, at=at)
+    lengths = F.explode(F.array(*[F.lit(n) for n in days])).alias("days")
+    covered = panes.select("*", lengths).withColumn("back", F.explode(F.sequence(F.lit(0), F.col("days") - 1)))
+    start = F.timestamp_seconds(F.unix_timestamp("window_start") - F.col("back") * 86_400)
+    return covered.groupBy("days", start.alias("window_start"), "provider").agg(F.sum("cost").alias("cost"), F.sum("calls").alias("calls"))
+
+
 def cost_alerts(usage: DataFrame, threshold: float = K.COST_ALERT_THRESHOLD, delay: str = "1 day") -> DataFrame:
     """Days whose cost so far has reached the threshold."""
     return (
@@ -148,12 +182,16 @@ def cost_alerts(usage: DataFrame, threshold: float = K.COST_ALERT_THRESHOLD, del
 
 
 def query_health(log: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Queries, latency sum and citations per window and label; means follow from sums."""
+    """Queries, mean latency, mean and most citations and queries without any, per window and label."""
+    cited = F.coalesce("citation_count", F.lit(0))
     return (
         log.withWatermark("ts", delay)
         .groupBy(F.window("ts", width).alias("w"), F.coalesce("label", F.lit("UNKNOWN")).alias("label"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("avg_latency_ms"))
-        .select(F.col("w.start").alias("window_start"), "label", "n", "avg_latency_ms")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.avg("latency_ms").alias("avg_latency_ms"), F.avg(cited).alias("avg_citations"),
+            F.max(cited).alias("max_citations"), F.count(F.when(cited == 0, 1)).alias("n_uncited"),
+        )
+        .select(F.col("w.start").alias("window_start"), "label", "n", "avg_latency_ms", "avg_citations", "max_citations", "n_uncited")
     )
 
 
@@ -166,22 +204,35 @@ def deduplicated(captures: DataFrame, text: str, horizon: str) -> DataFrame:
     return hashed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def keep_last(messages: DataFrame, keep: int, purpose: str = "keep-last", at: str | None = None) -> DataFrame:
-    """Newest ``keep`` messages per conversation, carried from batch to batch.
+def keep_last(
+    messages: DataFrame, keep: int, purpose: str = "keep-last", at: str | None = None, idle: str | None = None
+) -> DataFrame:
+    """Newest ``keep`` messages per conversation, held as keyed state on local disk (RocksDB).
 
-    Each batch merges with the rows kept by the batch before; only kept rows are carried on.
+    A batch reads and writes the state of its own conversations only and emits their kept rows; of
+    each conversation the rows of its last batch are the ones kept. A restart goes on from the
+    checkpoint. State of conversations without a message for ``idle`` (such as '30 days') goes;
+    their rows stay in the output, and a later message begins anew.
     """
     spark = messages.sparkSession
     root, checkpoint = _places(spark, purpose, at)
+    columns = [f for f in messages.schema.fields if f.name != "conversation_id"]
+    schema = T.StructType([messages.schema["conversation_id"], *columns])
+    ttl = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    kept = messages.groupBy("conversation_id").transformWithStateInPandas(
+        KeepNewest(T.StructType(columns), keep, ttl), schema, "Update", "ProcessingTime" if ttl else "None"
+    )
 
-    def merge(batch: DataFrame, number: int) -> None:
-        seen = batch
-        if number > 0:
-            seen = seen.unionByName(spark.read.schema(messages.schema).parquet(_batch_path(root, number - 1)))
-        conversations.pruned(seen, keep).write.mode("overwrite").parquet(_batch_path(root, number))
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(_batch_path(root, number))
 
-    run_batches(messages, merge, checkpoint)
-    return stored(spark, messages.schema, _batch_path(root, _last_batch(spark, root)))
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKS):
+        run_batches(kept, write, checkpoint, "update")
+    emitted = stored(spark, T.StructType([*schema.fields, T.StructField("batch", T.LongType())]), root, root)
+    last = emitted.groupBy("conversation_id").agg(F.max("batch").alias("batch"))
+    named = last.select(F.col("conversation_id").alias("_id"), F.col("batch").alias("_batch"))
+    same = emitted["conversation_id"].eqNullSafe(F.col("_id")) & (F.col("batch") == F.col("_batch"))
+    return emitted.join(named, same).select(*messages.columns)
 
 
 def ingest(files: DataFrame, tracker: DataFrame, purpose: str = "ingest", at: str | None = None) -> DataFrame:
@@ -210,6 +261,26 @@ def ingest(files: DataFrame, tracker: DataFrame, purpose: str = "ingest", at: st
     return spark.read.schema(tracker.schema).parquet(before(_last_batch(spark, root)))
 
 
+def ingest_notes(files: DataFrame, store: Store, name: str = "ingest", embed=None, at: str | None = None) -> Version:
+    """Bring a stored index up to date with a stream of touched notes (note_path, content, mtime,
+    deleted), cutting the chunks of new and changed ones.
+
+    Every batch is one version of the store, marked with its number, so a batch that is repeated
+    changes nothing. Of a note that a batch has several times, the state with the latest mtime
+    counts. Notes that a batch does not mention stay as they are and their buckets are not read.
+    """
+    _, checkpoint = _places(files.sparkSession, name, at)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        latest = F.max_by(F.struct("content", "deleted", "mtime"), F.struct("mtime", "deleted")).alias("_v")
+        states = materialize(batch.groupBy("note_path").agg(latest).select("note_path", "_v.*"), "touched-notes")
+        present = states.where(~F.col("deleted")).select("note_path", "content", "mtime")
+        indexing.commit_run(store, present, f"batch-{number}", embed, touched=states.select("note_path"), mark=(name, number))
+
+    run_batches(files, apply, checkpoint)
+    return store.current()
+
+
 def inbox(replies: DataFrame, purpose: str = "inbox", at: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split captured replies into processed and failed rows, two sinks per batch."""
     spark = replies.sparkSession
@@ -227,3 +298,58 @@ def inbox(replies: DataFrame, purpose: str = "inbox", at: str | None = None) ->
     good = stored(spark, "note_path string, summary string, batch long", f"{root}/processed")
     bad = stored(spark, "note_path string, raw string, batch long", f"{root}/failed")
     return good.drop("batch"), bad.drop("batch")
+
+
+def inbox_files(
+    spark: SparkSession, folder: str, done: str, failed: str, pattern: str = "*.json", files_per_batch: int = 1000,
+    purpose: str = "inbox-files", at: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Work off the reply files of an inbox folder: (processed, failed) rows, and every file moved on.
+
+    Whole files are read. Replies that are JSON objects go to the processed sink and their files to
+    ``done``; files that do not decode or hold no object go to the failed sink, with the reason, and
+    to ``failed``. Files are moved after both sinks of their batch are written; a batch that is
+    repeated after that only moves what is left. A batch has at most ``files_per_batch`` files.
+    A path is read once: a later file needs a name of its own.
+    """
+    root, checkpoint = _places(spark, purpose, at)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = (
+        spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern)
+        .option("ignoreMissingFiles", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    )
+    readable = F.is_valid_utf8("content")
+    name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("name")
+    replies = files.select("path", name, readable.alias("readable"), F.when(readable, F.decode("content", "UTF-8")).alias("raw"))
+
+    def handle(batch: DataFrame, number: int) -> None:
+        sinks = [_batch_path(f"{root}/{sink}", number) for sink in ("processed", "failed")]
+        if not all(_status(spark, f"{sink}/_SUCCESS") for sink in sinks):
+            typed = responses.typed(batch)
+            reason = F.when(~F.col("readable"), "invalid UTF-8").otherwise("no JSON object")
+            typed = materialize(typed.withColumn("reason", F.when(~F.col("ok"), reason)), "inbox-batch")
+            typed.where("ok").select("path", "name", "summary", "key_phrases").write.mode("overwrite").parquet(sinks[0])
+            typed.where("NOT ok").select("path", "name", "reason").write.mode("overwrite").parquet(sinks[1])
+        for sink, target in zip(sinks, (done, failed)):
+            for row in spark.read.parquet(sink).select("path").toLocalIterator():
+                _move(spark, row["path"], target)
+
+    run_batches(replies, handle, checkpoint)
+    good = stored(spark, "path string, name string, summary string, key_phrases array<string>, batch long", f"{root}/processed")
+    bad = stored(spark, "path string, name string, reason string, batch long", f"{root}/failed")
+    return good.drop("batch"), bad.drop("batch")
+
+
+def _move(spark: SparkSession, path: str, folder: str) -> None:
+    """Move a file into a folder; nothing if it has been moved. A file of that name from another
+    place is not overwritten."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = source.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(source):
+        return
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder, source.getName())
+    if files.exists(target):
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder, f"{hashlib.md5(path.encode()).hexdigest()[:12]}-{source.getName()}")
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"{path} could not be moved to {target.toString()}")

@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import conversations
+from marginalia.operators import conversations, indexing, notes
+from marginalia.sources.versions import Store
 from marginalia.streaming import jobs
 
 
@@ -111,3 +112,78 @@ def test_inbox_splits_and_archives(spark, tmp_path):
     good, bad = jobs.inbox(stream)
     assert {(r.note_path, r.summary) for r in good.collect()} == {("a.md", "A"), ("c.md", "C")}
     assert [r.note_path for r in bad.select(F.col("note_path")).collect()] == ["b.md"]
+
+
+def test_kept_messages_go_on_after_a_restart(spark, tmp_path):
+    root, at = tmp_path / "m", str(tmp_path / "job")
+    rows = [(f"c{i % 3}", i, "user", f"t{i}") for i in range(30)] + [(None, 1, "user", "no id"), ("c0", None, "user", "no turn")]
+    columns = "conversation_id string, turn int, role string, text string"
+    schema = write_files(spark, root, [rows[:8], rows[8:]], columns)
+    first = jobs.keep_last(jobs.source(spark, str(root), schema), 4, at=at).collect()
+    write_files(spark, root, [[("c1", 100, "user", "late"), ("new", 1, None, None)]], columns)
+    kept = jobs.keep_last(jobs.source(spark, str(root), schema), 4, at=at)
+    want = conversations.pruned(spark.read.parquet(str(root)), 4)
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert len(first) == 13
+    last = spark.read.parquet(f"{at}/output").groupBy("batch").agg(F.collect_set("conversation_id").alias("c")).orderBy("batch").collect()
+    assert sorted(last[-1].c) == ["c1", "new"]  # a batch touches its own conversations only
+
+
+def test_ingested_notes_equal_a_rebuild_and_a_repeat_changes_nothing(spark, tmp_path, monkeypatch):
+    root = tmp_path / "f"
+    text = lambda w: f"# T\n{(w + ' ') * 60}\n## Part\n{(w + 'x ') * 60}\n"
+    batches = [
+        [("a.md", text("a"), 1, False), ("b.md", text("b"), 1, False), ("b.md", text("old"), 0, False)],
+        [("a.md", text("a2"), 2, False), ("c.md", text("c"), 1, False), ("b.md", text("b"), 2, False)],
+        [("b.md", "", 3, True), ("d.md", "# short", 1, False)],
+    ]
+    schema = write_files(spark, root, batches, "note_path string, content string, mtime int, deleted boolean")
+    store = Store(spark, str(tmp_path / "index"), indexing.tables("int", 4))
+    run = jobs.run_batches
+
+    def twice(stream, handle, checkpoint, mode="append"):
+        def again(batch, number):
+            handle(batch, number)
+            before = store.current()
+            handle(batch, number)
+            assert store.current() == before
+
+        run(stream, again, checkpoint, mode)
+
+    monkeypatch.setattr(jobs, "run_batches", twice)
+    now = jobs.ingest_notes(jobs.source(spark, str(root), schema, files_per_batch=1), store)
+    assert now.number == 3 and now.marks == {"ingest": 2}
+    left = spark.createDataFrame([("a.md", text("a2")), ("c.md", text("c")), ("d.md", "# short")], "note_path string, content string")
+    want = notes.chunk(notes.parse(left)).select("note_path", "chunk_id", "chunk_index")
+    got = store.read("chunks").select("note_path", "chunk_id", "chunk_index")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() >= 4
+    tracked = {(r.note_path, r.indexed_at, r.mtime) for r in store.read("tracker").collect()}
+    assert tracked == {("a.md", "batch-1", 2), ("b.md", "batch-0", 1), ("c.md", "batch-1", 1), ("d.md", "batch-2", 1)} - {("b.md", "batch-0", 1)}
+
+
+def test_inbox_folder_is_worked_off(spark, tmp_path):
+    box, done, failed = tmp_path / "in", tmp_path / "done", tmp_path / "failed"
+    box.mkdir()
+    for name, raw in {"a.json": b'{"summary": "A"}', "b.json": b"no object", "c.json": b"\xff\xfe", "d.json": b'```json\n{"summary": "D"}\n```', "x.txt": b"{}"}.items():
+        (box / name).write_bytes(raw)
+    at = str(tmp_path / "job")
+    good, bad = jobs.inbox_files(spark, str(box), str(done), str(failed), files_per_batch=2, at=at)
+    assert {(r.name, r.summary) for r in good.collect()} == {("a", "A"), ("d", "D")}
+    assert {(r.name, r.reason) for r in bad.collect()} == {("b", "no JSON object"), ("c", "invalid UTF-8")}
+    assert sorted(p.name for p in box.iterdir()) == ["x.txt"]
+    assert sorted(p.name for p in done.iterdir() if p.suffix == ".json") == ["a.json", "d.json"]
+    (box / "e.json").write_bytes(b'{"summary": "E"}')
+    (done / "e.json").write_bytes(b"of another day")  # is not overwritten
+    good, _ = jobs.inbox_files(spark, str(box), str(done), str(failed), files_per_batch=2, at=at)
+    assert good.count() == 3 and len([p for p in done.iterdir() if p.suffix == ".json"]) == 3
+
+
+def test_periods_from_panes(spark, tmp_path):
+    root = tmp_path / "u"
+    schema = write_files(spark, root, [[(ts(1, 1), "a", 1.0), (ts(2), "a", 2.0)], [(ts(2, 5), "a", 4.0), (ts(4), "b", 8.0)]], "ts timestamp, provider string, cost double")
+    out = jobs.period_costs(jobs.source(spark, str(root), schema, files_per_batch=1), (1, 3)).where("window_start >= '2024-01-01'")
+    got = {(r.days, r.window_start.day, r.provider): (r.cost, r.calls) for r in out.collect()}
+    assert got == {
+        (1, 1, "a"): (1.0, 1), (1, 2, "a"): (6.0, 2), (1, 4, "b"): (8.0, 1), (3, 1, "a"): (7.0, 3), (3, 2, "a"): (6.0, 2),
+        (3, 2, "b"): (8.0, 1), (3, 3, "b"): (8.0, 1), (3, 4, "b"): (8.0, 1),
+    }
