@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import constants as K
+from marginalia.functions import headblock
 from marginalia.functions import text as X
 from marginalia.functions.splitting import section_pieces
 
@@ -61,6 +62,16 @@ def text_values(content: Column) -> Column:
     return _unquoted(F.filter(_head_pairs(content), lambda p: p["value"].rlike(_QUOTED) | ~p["value"].rlike(_NO_TEXT)))
 
 
+def head_values(content: Column) -> Column:
+    """The head block with its lists, nested maps and typed values, as a VARIANT."""
+    return headblock.values(F.nullif(F.regexp_extract(content, _FRONT, 1), F.lit("")))
+
+
+def tags(content: Column) -> Column:
+    """The tags of the head block, a list or one text."""
+    return headblock.texts(head_values(content), "$.tags")
+
+
 def body(content: Column) -> Column:
     return F.regexp_replace(content, _FRONT, "")
 

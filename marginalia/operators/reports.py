@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import constants as K
 from marginalia.functions import dates as D
 from marginalia.functions import text as X
+from marginalia.operators.namefinder import names_in
 from marginalia.operators import tasks as T
 from marginalia.session import materialize
 
@@ -152,38 +153,11 @@ def read_due_dates(lines: DataFrame) -> DataFrame:
 # --- projects ---------------------------------------------------------------------------
 
 
-def _substrings(name: Column) -> Column:
-    """All distinct substrings of a short name."""
-    n = F.length(name)
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(name, i, k)),
-            )
-        )
-    )
-
-
-def contained_names(inner: DataFrame, outer: DataFrame, inner_key: str, outer_key: str) -> DataFrame:
-    """(inner_key, outer_key) where one short name occurs inside the other.
-
-    Distinct outer names are spread into their substrings, which meet inner names by
-    equality: no pair is formed that does not match.
-    """
-    spread = outer.select(outer_key).distinct().where(F.length(outer_key) > 0).withColumn(
-        inner_key, F.explode(_substrings(F.col(outer_key)))
-    )
-    return spread.join(inner.select(inner_key).distinct().where(F.length(inner_key) > 0), inner_key)
-
-
 def match_projects(projects: DataFrame, subs: DataFrame) -> DataFrame:
     """(project, sub_project) where either normalised name contains the other."""
     left = projects.select("project", X.project_key(F.col("project")).alias("_p"))
     right = subs.where("sub_project != ''").select("sub_project", X.project_key(F.col("sub_project")).alias("_s"))
-    pairs = contained_names(left, right, "_p", "_s").select("_p", "_s").union(
-        contained_names(right, left, "_s", "_p").select("_p", "_s")
-    ).distinct()
+    pairs = names_in(right, left, "_s", "_p").select("_p", "_s").union(names_in(left, right, "_p", "_s").select("_p", "_s")).distinct()
     return left.join(pairs, "_p").join(right, "_s").select("project", "sub_project")
 
 
@@ -191,7 +165,7 @@ def mentions(projects: DataFrame, notes: DataFrame, as_of: str, days: int = 30)
     """(project, date, note_path, line_number, line) for recent notes bullets naming a project.
 
     A normalised name holds no space and no punctuation, so it can only occur inside one
-    word of a line. Distinct words are matched with names once; lines then meet the
+    word of a line. Distinct words are searched for names once; lines then meet the
     matches by equality.
     """
     recent = notes.where((F.col("section") == "notes") & (F.col("date") >= F.date_sub(D.as_day(as_of), days)))
@@ -201,7 +175,7 @@ def mentions(projects: DataFrame, notes: DataFrame, as_of: str, days: int = 30)
         F.explode(F.array_distinct(F.split(F.lower("item"), r"[\s\p{Punct}]+"))).alias("_w"),
     ).where("_w != ''")
     names = projects.select("project", X.project_key(F.col("project")).alias("_p"))
-    hits = contained_names(names, words, "_p", "_w")
+    hits = names_in(words, names, "_w", "_p")
     return (
         words.join(hits, "_w")
         .join(names, "_p")

@@ -56,6 +56,32 @@ def frontmatter_title(t: Tables) -> DataFrame:
     return parsed(t).select("note_path", "note_title", (F.size("frontmatter") > 0).alias("has_head"))
 
 
+@query(
+    "frontmatter_nested",
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || '|phase ' || (doc_id % 7) WHEN 1 THEN lang || '|' || source ELSE lang END AS tags,
+      CASE WHEN doc_id % 3 < 2 THEN 'Author of "' || doc_id || '"' END AS author,
+      CASE WHEN doc_id % 3 = 0 THEN 'b' || doc_id END AS second_place, CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 END AS age,
+      CASE WHEN doc_id % 3 = 0 THEN 'first line ' || doc_id || ' and second' || chr(10) END AS summary,
+      (doc_id % 3 = 0)::BOOLEAN AS draft FROM documents""",
+)
+def frontmatter_nested(t: Tables) -> DataFrame:
+    """Lists in both spellings, nested maps, typed and folded values of the head block."""
+    i = F.col("doc_id")
+    block = cat(
+        "---\ntitle: Doc\ntags:\n  - ", F.col("lang"), "\n  - phase ", i % 7, "\nauthor:\n  name: 'Author of \"", i, "\"'\n  age: ", i % 100,
+        "\n  places: [a, 'b", i, "']\nsummary: >\n  first line ", i, "\n  and second\ndraft: yes # so far\n---\n",
+    )
+    inline = cat("---\ntags: [", F.col("lang"), ", \"", F.col("source"), "\"]\nauthor: {name: \"Author of \\\"", i, "\\\"\"}\ndraft: false\n---\n")
+    plain = cat("---\ntags: ", F.col("lang"), "\nauthor: ~\ndraft: no\n---\n")
+    head = F.when(i % 3 == 0, block).when(i % 3 == 1, inline).otherwise(plain)
+    content = F.concat(head, F.lit("# Doc\n"), F.col("text"))
+    at = lambda path, kind="string": F.try_variant_get("head", path, kind)
+    return t.spread("documents").select("doc_id", F.array_join(notes.tags(content), "|").alias("tags"), notes.head_values(content).alias("head")).select(
+        "doc_id", "tags", at("$.author.name").alias("author"), at("$.author.places[1]").alias("second_place"),
+        at("$.author.age", "bigint").alias("age"), at("$.summary").alias("summary"), at("$.draft", "boolean").alias("draft"),
+    )
+
+
 @query("folder_date", f"WITH {NOTES} SELECT note_path, source AS note_folder, note_date FROM notes")
 def folder_date(t: Tables) -> DataFrame:
     return parsed(t).select("note_path", "note_folder", "note_date")
@@ -236,6 +262,23 @@ def source_scan(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "scan_globs",
+    """SELECT 'site=' || (page_id % 5) || '/page=' || page_id AS note_dir, 1::BIGINT AS n FROM pages
+       WHERE (page_id % 5 = 1 OR page_id % 5 = 2 OR page_id::VARCHAR LIKE '%7') AND page_id % 5 <> 3""",
+)
+def scan_globs(t: Tables) -> DataFrame:
+    """Several patterns, of which some match the same files; every file comes once."""
+    root = shared_dir(t.spark, "scan")
+    page = F.col("page_id")
+    t.spread("pages").select((page % 5).alias("site"), page.alias("page"), F.col("html").alias("value")).write.partitionBy(
+        "site", "page"
+    ).text(root)
+    found = files.scan(t.spark, root, ["site=1/*.txt", "site=2/*.txt", "**/page=*7/*.txt"], excludes=["site=3/*"])
+    where = F.regexp_replace("note_path", "/[^/]*$", "").alias("note_dir")
+    return found.groupBy(where).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "bad_utf8_quarantine",
     """SELECT page_id::VARCHAR AS note_path, (octet_length(encode(html)) + 1)::BIGINT AS n_bytes, 'invalid UTF-8' AS reason

@@ -18,9 +18,9 @@ from marginalia.sources.versions import Store
 FIELDS = ["note_title", "heading", "chunk_text"]
 
 
-def chunked(t: Tables) -> DataFrame:
+def chunked(t: Tables, files: DataFrame | None = None) -> DataFrame:
     """All chunks of all notes, written once: index, vectors and citations read them."""
-    parts = notes.chunk(notes.parse(order_notes(t).select("note_path", "content")))
+    parts = notes.chunk(notes.parse((order_notes(t) if files is None else files).select("note_path", "content")))
     return materialize(parts.withColumn("heading", F.array_join("heading_path", " > ")), "chunks")
 
 
@@ -116,6 +116,72 @@ def chunk_index_topk(t: Tables) -> DataFrame:
     return lexical(t, chunks).join(chunks.select("chunk_id", "note_path", "chunk_index", "heading"), "chunk_id").drop("chunk_id")
 
 
+def fused_chunks(t: Tables, chunks: DataFrame) -> DataFrame:
+    """Lexical and vector lists of chunks, fused, for every question."""
+    vectors, _ = _vector_no(t)
+    questions = asked(t).join(vectors.withColumnRenamed("vec_id", "question_id"), "question_id", "left")
+    dense = retrieval.vector_topk(chunk_vectors(t, chunks), questions.where("embedding IS NOT NULL"), "chunk_id", "question_id")
+    return retrieval.fuse(lexical(t, chunks), dense, "question_id", "chunk_id")
+
+
+def linked_files(t: Tables) -> DataFrame:
+    """The notes of the orders with a date in the head and links to two other orders at the end."""
+    k = F.col("o_orderkey")
+    day = F.lpad((k % 28 + 1).cast("string"), 2, "0")
+    links = cat("See [[Order ", k + 1, "]] and [[order ", k * 2, "|other]].\n")
+    return order_notes(t).select("note_path", cat("---\ndate: '2024-01-", day, "'\n---\n", F.col("content"), links).alias("content"))
+
+
+_LINKED_SQL = NOTE_SQL.replace("c AS (", "c0 AS (", 1).replace(
+    "chunk AS (",
+    """c AS (SELECT * REPLACE (chunk_text || CASE chunk_index WHEN 1 THEN chr(10) || 'See [[Order ' || (o_orderkey + 1) || ']] and [[order ' ||
+    (o_orderkey * 2) || '|other]].' ELSE '' END AS chunk_text) FROM c0),
+chunk AS (""",
+    1,
+) + """,
+top AS (SELECT question_id, rk, chunk.* FROM hyb JOIN chunk USING (chunk_id)),
+pointed AS (
+  SELECT question_id, rk, 0 AS pos, o_orderkey + 1 AS dst, note_title FROM top WHERE chunk_index = 1
+  UNION ALL SELECT question_id, rk, 1, o_orderkey * 2, note_title FROM top WHERE chunk_index = 1),
+fresh AS (
+  SELECT question_id, dst, min(rk * 10 + pos) AS o, min_by(note_title, rk * 10 + pos) AS linked_from
+  FROM pointed WHERE dst IN (SELECT o_orderkey FROM orders) AND (question_id, dst) NOT IN (SELECT (question_id, o_orderkey) FROM top) GROUP BY ALL),
+kept AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o)::INTEGER AS linked_rank FROM fresh QUALIFY linked_rank <= 3),
+linked AS (SELECT question_id, linked_rank, k.note_path, k.note_title, k.chunk_text, linked_from
+  FROM kept JOIN chunk k ON k.o_orderkey = dst AND k.chunk_index = 0)"""
+
+
+@query(
+    "retrieved_links",
+    f"""WITH {_LINKED_SQL} SELECT * FROM linked""",
+)
+def retrieved_links(t: Tables) -> DataFrame:
+    """First chunks of the notes that retrieved chunks link to and that were not retrieved."""
+    chunks = chunked(t, linked_files(t))
+    ranked = fused_chunks(t, chunks).join(chunks.select("chunk_id", "note_path", "note_title", "chunk_text"), "chunk_id")
+    return ranking.expand_links(materialize(ranked, "fused"), chunks, "question_id")
+
+
+@query(
+    "retrieved_context",
+    f"""WITH {_LINKED_SQL},
+    main AS (
+      SELECT question_id, string_agg('[' || rk || '] [orders] (2024-01-' || lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0') || ') ' || note_title || ' > ' || heading
+        || chr(10) || chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rk) AS context FROM top GROUP BY question_id),
+    more AS (
+      SELECT question_id, string_agg('[C' || linked_rank || '] [orders] ' || note_title || ' (linked from: ' || linked_from || ')' || chr(10) || chunk_text,
+        chr(10) || chr(10) ORDER BY linked_rank) AS x FROM linked GROUP BY question_id)
+    SELECT question_id, context || coalesce(chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'CONNECTED NOTES (linked from retrieved results):' ||
+      chr(10) || chr(10) || x, '') AS context FROM main LEFT JOIN more USING (question_id)""",
+)
+def retrieved_context(t: Tables) -> DataFrame:
+    """The numbered context of every question: its retrieved chunks, then the notes they link to."""
+    chunks = chunked(t, linked_files(t))
+    payload = chunks.select("chunk_id", "note_path", "note_title", "note_folder", "note_date", "heading_path", "chunk_text")
+    ranked = materialize(fused_chunks(t, chunks).join(payload, "chunk_id"), "fused")
+    return ranking.context_text(ranked, ranking.expand_links(ranked, chunks, "question_id"), "question_id")
+
+
 @query(
     "chunk_hybrid_notes",
     f"""WITH {NOTE_SQL} SELECT b.question_id, row_number() OVER (PARTITION BY b.question_id ORDER BY b.rk)::INTEGER AS rk, b.note_path, k.note_title,
@@ -125,11 +191,7 @@ def chunk_index_topk(t: Tables) -> DataFrame:
 def chunk_hybrid_notes(t: Tables) -> DataFrame:
     """Lexical and vector lists of chunks, fused; of each note its best chunk is cited."""
     chunks = chunked(t)
-    vectors, _ = _vector_no(t)
-    questions = asked(t).join(vectors.withColumnRenamed("vec_id", "question_id"), "question_id", "left")
-    dense = retrieval.vector_topk(chunk_vectors(t, chunks), questions.where("embedding IS NOT NULL"), "chunk_id", "question_id")
-    fused = retrieval.fuse(lexical(t, chunks), dense, "question_id", "chunk_id")
-    placed = fused.join(chunks.select("chunk_id", "note_path"), "chunk_id")
+    placed = materialize(fused_chunks(t, chunks).join(chunks.select("chunk_id", "note_path"), "chunk_id"), "fused")  # read twice
     best = ranking.best_chunk_per_note(placed, "question_id", "note_path", "rrf", "chunk_id")
     order = ranking.dedupe_to_notes(placed, "question_id", "note_path")
     ranked = best.join(order, ["question_id", "note_path"]).select(

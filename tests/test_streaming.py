@@ -175,7 +175,7 @@ def test_inbox_folder_is_worked_off(spark, tmp_path):
     (box / "e.json").write_bytes(b'{"summary": "E"}')
     (done / "e.json").write_bytes(b"of another day")  # is not overwritten
     good, _ = jobs.inbox_files(spark, str(box), str(done), str(failed), files_per_batch=2, at=at)
-    assert good.count() == 3 and len([p for p in done.iterdir() if p.suffix == ".json"]) == 3
+    assert good.count() == 3 and len([p for p in done.iterdir() if p.suffix == ".json"]) == 4
 
 
 def test_periods_from_panes(spark, tmp_path):
