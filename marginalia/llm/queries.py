@@ -69,6 +69,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k) for k in secrets.BASE_KINDS],
         F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"),
+        secrets.credentials_text(F.col("credentials")).alias("credentials"),
     )
 
 
