@@ -128,3 +128,18 @@ def test_registered_query_over_a_table(spark):
     for d, r in plain.items():  # corpus-wide columns need all rows; they are compared above
         mine = got[d]
         assert (mine["n_a"], mine["n_b"], mine["n_groups"], mine["n_links"], mine["groups_sha256"]) == (*r[1:5], r[7])
+
+
+def test_merging_by_ranks_equals_the_library_of_the_file(vocabularies):
+    coder = tokenalign.Encoder(vocabularies)
+    assert coder.ranked is not None
+    known = [chr(c) for c in (*range(0x280), *range(0x2000, 0x3000))]
+    texts = [shape.format(c) for c in known for shape in ("a{0}b", "1{0}2", " {0}{0} x", "{0}'s{0}", "x {0}\n{0}", ".{0}-")]
+    assert all(tokenalign.plain_enough(t.encode()) for t in texts)
+    library = [e.ids for e in coder.a.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [coder.ranked.encode_ordinary(t) for t in texts] == library
+    rng = random.Random(2)
+    mixed = ["".join(rng.choice(known) for _ in range(40)) for _ in range(2000)]
+    assert [coder.ranked.encode_ordinary(t) for t in mixed] == [e.ids for e in coder.a.encode_batch_fast(mixed, add_special_tokens=False)]
+    for odd in ("漢", "a" * 300, " " * 300, "\u1e9e", "\U0001f600"):
+        assert not tokenalign.plain_enough(odd.encode())
