@@ -178,7 +178,7 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"].isin(*pii.BASE_KINDS))
     count = lambda kind: F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[count(k) for k in pii.BASE_KINDS],
+        "doc_id", *[count(k) for k in pii.BASE_KINDS], F.size("pii").cast("long").alias("n_pii"),
         F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("pii")).alias("spans"),
     )
 
