@@ -80,7 +80,7 @@ def _marked(own: list[bytes], other: list[bytes]) -> np.ndarray:
 
 
 def _stretches(unit: bytes, marked: np.ndarray) -> list[bytes]:
-    """Parts of a unit that marked grams cover."""
+    """Parts of a unit that marked grams cover; long ones in pieces that overlap by half."""
     keys = _grams(unit)
     if not len(keys) or not len(marked):
         return []
@@ -89,7 +89,8 @@ def _stretches(unit: bytes, marked: np.ndarray) -> list[bytes]:
         return []
     cuts = np.flatnonzero(np.diff(hits) > GRAM)
     begins, ends = hits[np.append(0, cuts + 1)], hits[np.append(cuts, len(hits) - 1)] + GRAM
-    return [unit[a:b][: 4 * GRAM] for a, b in zip(begins, ends)]
+    step = 2 * GRAM
+    return [unit[k : min(k + 2 * step, b)] for a, b in zip(begins, ends) for k in range(a, max(a + 1, b - step), step)]
 
 
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
