@@ -42,14 +42,15 @@ class TopK:
         self.scores = [np.zeros(0) for _ in range(n_queries)]
         self.ids = [np.zeros(0, dtype=object) for _ in range(n_queries)]
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """Fold in a (queries, rows) block of similarities."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """Fold in a block of similarities, whose rows are all queries or the numbers given."""
         width = scores.shape[1]
         if not width:
             return
-        last = np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
-        for q in np.flatnonzero(scores.max(axis=1) >= last):
-            row = scores[q]
+        queries = np.arange(len(self.scores)) if queries is None else queries
+        last = np.array([self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf for q in queries])
+        for at in np.flatnonzero(scores.max(axis=1) >= last):
+            q, row = queries[at], scores[at]
             if width > self.k:
                 floor = np.partition(row, width - self.k)[width - self.k]
                 keep = np.flatnonzero(row >= floor)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
-from marginalia.operators import evaluate, ranking, retrieval
+from marginalia.operators import clusters, evaluate, ranking, retrieval
 from marginalia.plans.registry import Tables, query
 from marginalia.session import shared_dir
 from marginalia.sources import tables
@@ -178,6 +178,13 @@ def vector_topk_blocked(t: Tables) -> DataFrame:
     )
 
 
+@query("vector_topk_clustered", f"WITH {VEC} SELECT item_id, doc_id, similarity, rk::INTEGER AS rk FROM den3")
+def vector_topk_clustered(t: Tables) -> DataFrame:
+    """The same rows from vectors in clusters, most of which a question never meets."""
+    asked = questions(t).where(F.col("embedding").isNotNull())
+    return clusters.topk(clusters.build(vectors(t), "doc_id"), asked, "item_id").hits
+
+
 @query("rrf_hybrid", f"WITH {HYBRID} SELECT item_id, doc_id, similarity, bm25, rrf, rk FROM hyb")
 def rrf_hybrid(t: Tables) -> DataFrame:
     return hybrid_hits(t)
