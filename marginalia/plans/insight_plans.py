@@ -269,6 +269,52 @@ def metadata_refresh(t: Tables) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PROMPT_SQL = """'Title: Doc ' || doc_id || chr(10) || 'Path: ' || source || '/' || doc_id || '.md' || chr(10) || chr(10) || 'Content:' || chr(10) ||
+  CASE WHEN length(now) > 12000 THEN now[1:12000] || chr(10) || chr(10) || '[... truncated ...]' ELSE now END"""
+
+
+def title_model():
+    """Stands in for a model: summary and length of the prompt; fails for every seventh document."""
+
+    def reply(prompt: str) -> str:
+        title = prompt.split("\n", 1)[0].removeprefix("Title: ")
+        if int(title.removeprefix("Doc ")) % 7 == 0:
+            raise RuntimeError("no answer")
+        return '{"summary": "%s", "key_phrases": ["%d"]}' % (title, len(prompt))
+
+    return reply
+
+
+@query(
+    "metadata_extract",
+    f"""WITH d AS (SELECT *, text || CASE WHEN doc_id % 10 = 2 THEN chr(10) || 'Edited.' ELSE '' END AS now FROM documents),
+    o AS (SELECT *, CASE WHEN doc_id % 10 = 1 THEN 'gone' WHEN doc_id % 7 = 0 THEN 'failed'
+        WHEN doc_id % 10 = 2 AND length(text) > 12000 THEN 'cached' WHEN doc_id % 10 IN (0, 2) THEN 'extracted' ELSE 'skipped' END AS outcome FROM d
+      WHERE NOT (doc_id % 10 = 1 AND doc_id % 7 = 0))
+    SELECT source || '/' || doc_id || '.md' AS note_path, outcome, CASE WHEN outcome = 'failed' THEN 'RuntimeError: no answer' END AS error,
+      CASE WHEN outcome NOT IN ('failed', 'gone') THEN 'Doc ' || doc_id END AS summary,
+      CASE WHEN outcome NOT IN ('failed', 'gone') THEN length({_PROMPT_SQL}) END::BIGINT AS prompt_length FROM o""",
+)
+def metadata_extract(t: Tables) -> DataFrame:
+    """A second run over the documents: by last digit new (0), gone (1), edited (2) or unchanged.
+    Only what is stale is sent to the extractor, and what failed before. An edit behind the end of
+    the prompt leaves the prompt as it was, so its reply is known."""
+    i = F.col("doc_id")
+
+    def notes(docs: DataFrame) -> DataFrame:
+        path = cat(F.col("source"), "/", i, ".md")
+        prompt = X.prompt_text(cat("Doc ", i), path, F.create_map().cast("map<string,string>"), F.col("text"))
+        return docs.select(path.alias("note_path"), F.sha1(F.col("text").cast("binary")).alias("hash"), prompt.alias("prompt"))
+
+    docs = t.spread("documents").select("doc_id", "source", "text")
+    edit = F.when(i % 10 == 2, F.concat("text", F.lit("\nEdited."))).otherwise(F.col("text"))
+    first = responses.extract_stale(notes(docs.where(i % 10 != 0)), *responses.no_metadata(docs), "titles", title_model)
+    now = notes(docs.where(i % 10 != 1).withColumn("text", edit))
+    second = responses.extract_stale(now, first.metadata, first.cache, "titles", title_model)
+    known = second.metadata.select("note_path", "summary", F.element_at("key_phrases", 1).cast("long").alias("prompt_length"))
+    return second.outcomes.join(known, "note_path", "left")
+
+
 @query(
     "extraction_prompts",
     """SELECT doc_id, md5('Title: Doc ' || doc_id || chr(10) || 'Path: ' || source || '/' || doc_id || '.md' || chr(10) || chr(10) ||
