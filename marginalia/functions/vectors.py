@@ -43,19 +43,25 @@ class TopK:
         self.ids = [np.zeros(0, dtype=object) for _ in range(n_queries)]
 
     def add(self, scores: np.ndarray, ids: np.ndarray, queries: np.ndarray | None = None) -> None:
-        """Fold in a block of similarities, whose rows are all queries or the numbers given."""
+        """Fold in a block of similarities, whose rows are all queries or the numbers given. Cells of
+        minus infinity are no hits."""
         width = scores.shape[1]
         if not width:
             return
         queries = np.arange(len(self.scores)) if queries is None else queries
         last = np.array([self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf for q in queries])
+        by_id = None
         for at in np.flatnonzero(scores.max(axis=1) >= last):
             q, row = queries[at], scores[at]
+            floor = last[at]
             if width > self.k:
-                floor = np.partition(row, width - self.k)[width - self.k]
-                keep = np.flatnonzero(row >= floor)
-            else:
-                keep = np.arange(width)
+                floor = max(floor, np.partition(row, width - self.k)[width - self.k])
+            keep = np.flatnonzero((row >= floor) & (row > -np.inf))
+            if len(keep) > self.k:  # of equal scores the least ids are enough
+                if by_id is None:
+                    by_id = np.empty(width, dtype=np.int64)
+                    by_id[sorted(range(width), key=ids.__getitem__)] = np.arange(width)
+                keep = keep[np.lexsort((by_id[keep], -row[keep]))[: self.k]]
             all_scores = np.concatenate([self.scores[q], row[keep]])
             all_ids = np.concatenate([self.ids[q], ids[keep]])
             order = sorted(range(len(all_ids)), key=lambda i: (-all_scores[i], all_ids[i]))[: self.k]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,6 +127,87 @@ def top_k(df: DataFrame, query_id: str, order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def _counted(corpus: DataFrame, key: str, fields: list[str], vocabulary: list[str], lengths: tuple[int, ...]) -> DataFrame:
+    """(key, dl, found): the terms of the vocabulary in every row, counted where the text is read.
+
+    ``found`` holds numbers of terms and their counts, so an index row is one row per chunk and
+    nothing is shuffled, whatever the number of words.
+    """
+    toks = tokenized(corpus, key, fields)
+    grams = F.concat(*[_grams(F.col(f"_t{i}"), lengths) for i in range(len(fields))])
+    shared = corpus.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = T.StructType([corpus.schema[key], *T.StructType.fromDDL("dl long, found array<struct<term:int,tf:long>>")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, type=pa.string())
+        for batch in batches:
+            lists = batch.column(2)
+            words = lists.flatten()
+            numbers = pc.index_in(words.cast(pa.string()), known)
+            there = pc.is_valid(numbers).to_numpy(zero_copy_only=False)
+            rows = pc.list_parent_indices(lists).to_numpy()[there]
+            pairs, tf = np.unique(rows.astype(np.int64) * len(known) + numbers.drop_null().to_numpy(), return_counts=True)
+            at = np.searchsorted(pairs, np.arange(batch.num_rows + 1, dtype=np.int64) * len(known))
+            found = pa.StructArray.from_arrays(
+                [pa.array((pairs % max(len(known), 1)).astype(np.int32)), pa.array(tf.astype(np.int64))], names=["term", "tf"]
+            )
+            found = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=[key, "dl", "found"])
+
+    return materialize(toks.select(key, "dl", grams.alias("_g")).mapInArrow(count, schema), "counted")
+
+
+def _scan_topk(index: DataFrame, asked: pa.Table, avg_dl: float, n_terms: int, key: str, query_id: str, k: int, schema: T.StructType) -> DataFrame:
+    """The k best rows per question and task of an index of one row per key."""
+    asked = asked.sort_by("term")
+    starts = np.searchsorted(asked["term"].to_numpy(), np.arange(n_terms + 1))
+    numbers = {q: i for i, q in enumerate(dict.fromkeys(asked[query_id].to_pylist()))}
+    names = np.array([*numbers, None], dtype=object)[:-1]
+    query = np.array([numbers[q] for q in asked[query_id].to_pylist()], dtype=np.int64)
+    shared = index.sparkSession.sparkContext.broadcast((names, query, asked["w"].to_numpy(), starts))
+    out = _arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, query, weight, starts = shared.value
+        best = TopK(len(names), k)
+        for batch in batches:
+            lists = batch.column(2)
+            keys = np.array(batch.column(0).to_pylist(), dtype=object)
+            found = lists.flatten()
+            rows = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            term, tf = found.field("term").to_numpy(), found.field("tf").to_numpy().astype(np.float64)
+            dl = batch.column(1).to_numpy().astype(np.float64)[rows]
+            part = tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / avg_dl))
+            met = starts[term + 1] - starts[term]  # questions a posting meets
+            ends = np.concatenate([[0], np.cumsum(met)])
+            for tile in _row_tiles(rows, ends, batch.num_rows, len(names)):
+                a, b = np.searchsorted(rows, [tile.start, tile.stop])
+                width = tile.stop - tile.start
+                posting = np.repeat(np.arange(a, b), met[a:b])
+                at = starts[term[posting]] + np.arange(ends[a], ends[b]) - ends[posting]
+                cell = query[at] * width + (rows[posting] - tile.start)
+                scores = np.bincount(cell, weights=weight[at] * part[posting], minlength=len(names) * width)
+                hit = np.bincount(cell, minlength=len(names) * width) > 0
+                scores = np.where(hit, np.round(scores, 6), -np.inf).reshape(len(names), width)
+                best.add(scores, keys[tile])
+        yield _emit(best, names, out)
+
+    return index.mapInArrow(scan, schema)
+
+
+def _row_tiles(rows: np.ndarray, ends: np.ndarray, n_rows: int, n_queries: int, most: int = 4 << 20) -> Iterator[slice]:
+    """Slices of rows with at most ``most`` cells, and as many meetings of postings and questions
+    unless a single row has more."""
+    step = max(1, most // max(n_queries, 1))
+    first = ends[np.searchsorted(rows, np.arange(n_rows + 1))]  # meetings before each row
+    a = 0
+    while a < n_rows:
+        b = int(np.searchsorted(first, first[a] + most, side="right")) - 1
+        b = min(max(b, a + 1), a + step, n_rows)
+        yield slice(a, b)
+        a = b
+
+
 def bm25_topk(
     corpus: DataFrame,
     queries: DataFrame,
@@ -134,27 +216,74 @@ def bm25_topk(
     query_id: str,
     text: str,
     k: int = K.LEXICAL_TOP_K,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """(query, key, score, rk) by BM25 over all fields of the chunk."""
-    terms = query_terms(queries, query_id, text)
-    index = query_index(corpus, key, fields, terms, phrase_lengths(terms))
-    stats = corpus_stats(index)
-    weighted = terms.join(term_stats(index, stats), "term")
-    avg_dl = stats.select("avg_dl").scalar()
+    """(query, key, score, rk) by BM25 over all fields of the chunk.
+
+    While the terms of all questions are small enough to share, every row is scored where it lies
+    and a task returns k rows per question. Beyond that index rows and questions are joined by term,
+    and so are rows whose key is not theirs alone: their counts are added up first.
+    """
+    terms = materialize(query_terms(queries, query_id, text), "asked-terms")
+    lengths = phrase_lengths(terms)
+    best = [F.desc("score"), F.asc(key)]
+    size = terms.agg(F.coalesce(F.sum(F.length("term") + 40), F.lit(0))).first()[0]
+    plain = all(df.schema[c].dataType.simpleString() in _ARROW for df, c in ((queries, query_id), (corpus, key)))
+    if size > broadcast_bytes or not plain:
+        index = query_index(corpus, key, fields, terms, lengths)
+        stats = corpus_stats(index)
+        return top_k(_joined_scores(index, terms.join(term_stats(index, stats), "term"), stats, query_id, key), query_id, best, k)
+
+    vocabulary = [r[0] for r in terms.select("term").distinct().orderBy("term").collect()]
+    counted = _counted(corpus, key, fields, vocabulary, lengths)
+    shared = counted.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).select(F.col(key).alias("_k"))
+    shared = materialize(shared, "shared-keys")
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    alone, joint = counted, None
+    if not shared.isEmpty():
+        alone, several = counted.join(shared, same, "left_anti"), counted.join(shared, same, "left_semi")
+        # an index row without a term stands for the length of the chunk
+        found = several.select(key, "dl", F.explode(F.concat("found", F.array(F.struct(F.lit(-1).alias("term"), F.lit(1).cast("long").alias("tf"))))).alias("_f"))
+        joint = materialize(found.groupBy(key, "dl", F.col("_f.term").alias("term")).agg(F.sum("_f.tf").alias("tf")), "joint-keys")
+
+    numbers = terms.sparkSession.createDataFrame(list(zip(vocabulary, range(len(vocabulary)))), "term string, no int")
+    rows = alone.select("dl")
+    df = alone.select(F.explode("found.term").alias("term"))
+    if joint is not None:
+        rows = rows.unionByName(joint.where("term = -1").select("dl"))
+        df = df.unionByName(joint.where("term >= 0").select("term"))
+    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")).first()
+    idf = F.log((stats["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = df.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = df.select(F.col("term").alias("no"), F.when(idf > 0, idf).otherwise(F.lit(K.BM25_IDF_FLOOR)).alias("idf"))
+    weighted = terms.join(numbers, "term").join(df, "no").select(
+        query_id, F.col("no").alias("term"), (F.col("weight") * F.col("idf")).alias("w")
+    )
+    weighted = materialize(weighted, "weighted")
+    schema = T.StructType([queries.schema[query_id], corpus.schema[key], T.StructField("score", T.DoubleType())])
+    avg_dl = stats["avg_dl"] or 1.0
+    scored = _scan_topk(alone, weighted.toArrow(), avg_dl, len(vocabulary), key, query_id, k, schema)
+    if joint is not None:
+        weights = weighted.select(query_id, "term", F.col("w").alias("weight"), F.lit(1.0).alias("idf"))
+        scored = scored.unionByName(_joined_scores(joint, weights, None, query_id, key, avg_dl))
+    return top_k(scored, query_id, best, k)
+
+
+def _joined_scores(index: DataFrame, weighted: DataFrame, stats: DataFrame | None, query_id: str, key: str, avg_dl: float | None = None) -> DataFrame:
+    mean = F.lit(avg_dl) if stats is None else stats.select("avg_dl").scalar()
     tf = F.col("tf").cast("double")
     part = (
         F.col("weight")
         * F.col("idf")
         * tf
         * (K.BM25_K1 + 1)
-        / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / avg_dl))
+        / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / mean))
     )
-    scored = (
+    return (
         index.join(weighted, "term")
         .groupBy(query_id, key)
         .agg(F.round(F.sum(part), 6).alias("score"))
     )
-    return top_k(scored, query_id, [F.desc("score"), F.asc(key)], k)
 
 
 # --- vectors --------------------------------------------------------------------------
@@ -182,9 +311,11 @@ def _emit(best: TopK, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatc
     )
 
 
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
 def _arrow_schema(schema: T.StructType) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    return pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema])
+    return pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in schema])
 
 
 def _streamed_topk(chunks, queries, key, query_id, vector, k, schema):

@@ -149,3 +149,24 @@ def test_notes_keep_the_place_of_their_first_chunk(spark):
 
 def test_limits_are_the_fixed_values():
     assert (K.LEXICAL_TOP_K, K.VECTOR_TOP_K, K.FUSED_TOP_K, K.RERANK_TOP_N, K.MAX_LINKED, K.RRF_K) == (50, 30, 10, 5, 3, 60)
+
+
+def test_rows_scored_where_they_lie_equal_rows_joined_by_term(spark):
+    rng = random.Random(5)
+    words = "ash birch cedar elm fir oak pine yew".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(rng.randrange(0, 30))) for i in range(300)] + [(None, text(9)), (None, text(12)), (7, text(5)), (8, rows8 := text(6)), (8, rows8)]
+    corpus = spark.createDataFrame(rows, "id long, body string")
+    asked = spark.createDataFrame(
+        [(1, "oak pine"), (2, "ash-birch elm elm"), (None, "yew"), (4, "nothing"), (5, "fir"), (5, "fir oak")], "q long, question string"
+    )
+    found = lambda size: sorted((tuple(r) for r in retrieval.bm25_topk(
+        corpus, asked, "id", ["body"], "q", "question", 10, broadcast_bytes=size).select("q", "id", "score", "rk").collect()), key=repr)
+    assert found(1 << 20) == found(0) and len(found(0)) == 40
+
+
+def test_the_index_of_a_batch_has_one_row_a_chunk(spark):
+    corpus = spark.createDataFrame([(i, "oak pine oak " * 50) for i in range(20)], "id long, body string")
+    index = retrieval._counted(corpus, "id", ["body"], ["oak", "yew"], (1,))
+    assert {(r.id, r.dl, tuple((f.term, f.tf) for f in r.found)) for r in index.collect()} == {(i, 150, ((0, 100),)) for i in range(20)}
+    assert index.count() == 20
