@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
 from marginalia.operators.retrieval import top_k
+from marginalia.session import materialize
 
 
 def with_scores(candidates: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,7 +120,9 @@ def dedupe_to_notes(ranked: DataFrame, query_id: str, note: str) -> DataFrame:
 def resolve_titles(links: DataFrame, notes: DataFrame) -> DataFrame:
     """Attach ``dst_path`` for a link title, case ignored; one title held by several notes
     gives the first path. Unknown titles are dropped."""
-    titles = notes.groupBy(F.lower("note_title").alias("_t")).agg(F.min("note_path").alias("dst_path"))
+    asked = links.select(F.lower("dst_title").alias("_t")).distinct()
+    named = notes.select(F.lower("note_title").alias("_t"), "note_path").join(asked, "_t", "left_semi")
+    titles = named.groupBy("_t").agg(F.min("note_path").alias("dst_path"))
     return links.join(titles, F.lower("dst_title") == F.col("_t")).drop("_t")
 
 
@@ -143,8 +146,7 @@ def expand_links(
         F.col("note_title").alias("linked_from"),
         F.posexplode(X.wiki_links(F.col("chunk_text"))).alias("pos", "dst_title"),
     )
-    notes = chunks.select("note_path", "note_title").distinct()
-    resolved = resolve_titles(links, notes)
+    resolved = resolve_titles(links, chunks.select("note_path", "note_title"))
     have = ranked.select(query_id, F.col("note_path").alias("dst_path")).distinct()
     fresh = (
         resolved.join(have, [query_id, "dst_path"], "left_anti")
@@ -154,7 +156,9 @@ def expand_links(
     kept = top_k(
         fresh.select(query_id, "dst_path", "_f.*"), query_id, [F.asc("rk"), F.asc("pos")], max_linked, "linked_rank"
     )
-    heads = first_chunks(chunks).withColumnRenamed("note_path", "dst_path")
+    kept = materialize(kept, "linked")  # only their notes are looked through for first chunks
+    wanted = chunks.join(kept.select(F.col("dst_path").alias("note_path")).distinct(), "note_path", "left_semi")
+    heads = first_chunks(wanted).withColumnRenamed("note_path", "dst_path")
     return kept.join(heads, "dst_path").select(
         query_id,
         "linked_rank",
