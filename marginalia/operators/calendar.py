@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import dates as D
+from marginalia.session import materialize
 
 
 def last_day() -> Column:
@@ -21,8 +22,10 @@ def overlap_join(events: DataFrame, ranges: DataFrame, bucket_days: int = 7) ->
     """All (range, event) rows whose closed intervals touch.
 
     Both sides are cut into day buckets and meet by equality; a pair that shares several
-    buckets is kept only in the first of them.
+    buckets is kept only in the first of them. The ranges are written down first: Spark then knows
+    their size, and while it is small the events, once per bucket, are not shuffled.
     """
+    ranges = materialize(ranges, "ranges")
 
     def bucket(day: Column) -> Column:
         return F.floor(F.unix_date(day) / bucket_days).cast("int")

@@ -106,6 +106,17 @@ def test_closed_interval_edges(spark):
     assert sorted(joined) == sorted(got)
 
 
+def test_events_meet_few_ranges_without_being_shuffled(spark):
+    days = spark.range(400).select((F.lit(D1) + F.col("id").cast("int")).alias("date"), F.lit(None).cast("date").alias("end_date"))
+    many = spark.range(4_000_000).select((F.lit(D1) + (F.col("id") % 400).cast("int")).alias("range_start"))  # of unknown size when grouped
+    ranges = many.distinct().where(F.dayofmonth("range_start") == 1).withColumn("range_end", F.date_add("range_start", 9))
+    joined = calendar.overlap_join(days, ranges)
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    want = days.crossJoin(ranges).where("date BETWEEN range_start AND range_end")
+    assert joined.count() == want.count() > 0
+
+
 def test_update_latest_only_and_clear_due(spark):
     df = appearances(spark, [("A", "", "t", "open", D1, 1, D1), ("A", "", "t", "open", D1 + dt.timedelta(1), 1, D1)])
     upd = spark.createDataFrame([("A", "", "t", "done", "")], "category string, sub_project string, normalized string, new_status string, new_due string")
