@@ -57,8 +57,12 @@ def route(segments: DataFrame, titles: DataFrame) -> DataFrame:
         .otherwise(notes)
     )
     to_daily = (F.col("n_tasks") > 0) & ~kind.isin("daily_note", "living_document", "event")
+    # captures that name no note are most of all; a join would send them to one task
+    columns = ["existing_note", *[c for c in segments.columns if c != "existing_note"]]
+    named = segments.where(F.col("existing_note").isNotNull()).join(known, "existing_note", "left")
+    unnamed = segments.where(F.col("existing_note").isNull()).withColumn("_have", F.lit(None).cast("string"))
     return (
-        segments.join(known, "existing_note", "left")
+        named.select(*columns, "_have").unionByName(unnamed.select(*columns, "_have"))
         .withColumn("route", where)
         .withColumn("folder", folder)
         .withColumn("tasks_to_daily", to_daily)

@@ -44,6 +44,21 @@ def test_file_names_fill_free_numbers(spark):
     assert {r.i: r.file_title for r in routing.file_names(df, ex, "i").collect()} == want
 
 
+def test_captures_that_name_no_note_take_no_part_in_the_join(spark, monkeypatch):
+    rows = spark.range(2000).select(
+        F.col("id").alias("i"), F.lit("note").alias("note_type"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("N"), "id")).alias("existing_note"),
+        F.lit(None).cast("string").alias("living_doc_name"), F.lit(0).alias("n_tasks"),
+    )
+    titles = spark.createDataFrame([("10_Notes", "N100")], "folder string, title string")
+    joined = []
+    join = type(rows).join
+    monkeypatch.setattr(type(rows), "join", lambda self, *a, **k: joined.append(self.count()) or join(self, *a, **k))
+    got = routing.route(rows, titles)
+    monkeypatch.undo()
+    assert joined == [20]
+    assert {r.route: r["count"] for r in got.groupBy("route").count().collect()} == {"append": 1, "create": 1999}
+
+
 def test_route_precedence(spark):
     schema = "i int, note_type string, existing_note string, living_doc_name string, n_tasks int"
     rows = [
