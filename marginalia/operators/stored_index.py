@@ -14,10 +14,15 @@ those that may still hold a better chunk, which are scored next. No list is cut
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
@@ -59,6 +64,39 @@ def _worded(chunks: DataFrame) -> DataFrame:
     return parts.select("*", F.concat(*placed).alias("words")).withColumn("dl", F.size("words").cast("long"))
 
 
+# a term that no text holds
+_CHUNK = "\x00chunk"
+
+
+def _counted(worded: DataFrame, stamp: int) -> DataFrame:
+    """Postings of chunks, made where a chunk lies, and a row of the term ``_CHUNK`` for each chunk."""
+    schema = "chunk_id string, note_path string, block long, dl long, term string, tf long, positions array<int>, version long"
+    names = T.StructType.fromDDL(schema).fieldNames()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(chunks: pa.RecordBatch, terms: pa.Array, tf: np.ndarray, positions: pa.Array) -> pa.RecordBatch:
+            made = [*chunks.columns[:4], terms, pa.array(tf, pa.int64()), positions, pa.array(np.full(len(terms), stamp), pa.int64())]
+            return pa.RecordBatch.from_arrays(made, names=names)
+
+        for batch in batches:
+            words = batch.column(4)
+            flat = words.flatten()
+            coded = flat.field("term").dictionary_encode()
+            parent, code = pc.list_parent_indices(words).to_numpy(), coded.indices.to_numpy()
+            place = flat.field("pos").to_numpy()
+            order = np.lexsort((place, code, parent))
+            parent, code = parent[order], code[order]
+            first = np.flatnonzero(np.r_[True, (parent[1:] != parent[:-1]) | (code[1:] != code[:-1])][: len(order)])
+            ends = np.r_[first, len(order)].astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order], pa.int32()))
+            terms = coded.dictionary.take(pa.array(code[first])).cast(pa.string())
+            yield batch_of(batch.take(pa.array(parent[first])), terms, np.diff(ends), positions)
+            none = pa.array([[]] * batch.num_rows, pa.list_(pa.int32()))
+            yield batch_of(batch, pa.array([_CHUNK] * batch.num_rows, pa.string()), np.zeros(batch.num_rows, np.int64), none)
+
+    return worded.mapInArrow(rows, schema)
+
+
 def _frequencies(chunks: DataFrame, sign: int) -> DataFrame:
     terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
     return _worded(chunks).select(F.explode(terms).alias("term")).groupBy("term").agg((F.count(F.lit(1)) * sign).alias("df"))
@@ -70,14 +108,20 @@ def deltas(store: Store, base: Version, fresh: DataFrame, old: DataFrame, stale:
     stamp = base.number + 1
     along = fresh.repartitionByRange("note_path").sortWithinPartitions("note_path", "chunk_index")
     number = F.floor(F.monotonically_increasing_id() / BLOCK) + (stamp << 44)
-    worded = materialize(_worded(along.withColumn("block", number)).select("chunk_id", "note_path", "block", "dl", "words"), "worded")
-    postings = (
-        worded.select("chunk_id", "note_path", "block", "dl", F.inline("words"))
-        .groupBy("term", "block", "chunk_id", "note_path", "dl")
-        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        .withColumn("version", F.lit(stamp).cast("long"))
-    )
-    postings = materialize(postings, "postings")
+    worded = _worded(along.withColumn("block", number)).select("chunk_id", "note_path", "block", "dl", "words")
+    if fresh.groupBy("note_path", "chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # a chunk's words are counted in its row; one more row holds its length
+        counted = materialize(_counted(worded, stamp), "postings")
+        postings, worded = counted.where(F.col("term") != _CHUNK), counted.where(F.col("term") == _CHUNK)
+    else:  # equal chunks of a block are added up
+        worded = materialize(worded, "worded")
+        postings = (
+            worded.select("chunk_id", "note_path", "block", "dl", F.inline("words"))
+            .groupBy("term", "block", "chunk_id", "note_path", "dl")
+            .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+            .withColumn("version", F.lit(stamp).cast("long"))
+        )
+        postings = materialize(postings, "postings")
     blocks = postings.groupBy("term", "block").agg(
         F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.min("chunk_id").alias("least_key"), F.count(F.lit(1)).alias("n")
     )

@@ -121,3 +121,16 @@ def test_a_question_reads_only_the_buckets_of_its_terms(spark, store):
     asked = spark.createDataFrame([("alpha",)], "term string")
     files = {os.path.dirname(f) for f in store.lookup("postings", asked).inputFiles()}
     assert len({os.path.basename(f) for f in files}) == 1
+
+
+def test_postings_are_made_in_the_row_of_their_chunk(spark):
+    words = [[(0, "b"), (1, "a"), (2, "b")], [], [(0, "a")]]
+    rows = [(f"c{i}", "n", 7, len(w), w) for i, w in enumerate(words)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, note_path string, block long, dl long, words array<struct<pos:int,term:string>>")
+    made = stored_index._counted(chunks, 3)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {(r.chunk_id, r.term, r.tf, tuple(r.positions), r.dl, r.block, r.version) for r in made.collect()}
+    assert got == {
+        ("c0", "a", 1, (1,), 3, 7, 3), ("c0", "b", 2, (0, 2), 3, 7, 3), ("c2", "a", 1, (0,), 1, 7, 3),
+        *[(f"c{i}", stored_index._CHUNK, 0, (), len(w), 7, 3) for i, w in enumerate(words)],
+    }
