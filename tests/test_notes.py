@@ -6,6 +6,7 @@ from marginalia.functions import constants as K
 from marginalia.functions import text as X
 from marginalia.functions.splitting import pieces, windows
 from marginalia.operators import changes, notes
+from marginalia.sources import notes as files
 
 
 def sections_of(spark, text):
@@ -167,3 +168,17 @@ def test_upsert_is_stable(spark):
     twice = changes.upsert(once, new, "k")
     want = [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, once.collect())) == want == sorted(map(tuple, twice.collect()))
+
+
+def test_a_listing_is_not_a_task_per_folder(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"page={i}").mkdir()
+        (tmp_path / f"page={i}" / "a.txt").write_text(str(i))
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    found = files.scan(spark, str(tmp_path), "*.txt")
+    status = sc.statusTracker()
+    sizes = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert sizes and max(sizes) <= 128
+    assert found.select("note_path").distinct().count() == 200

@@ -187,3 +187,15 @@ def test_periods_from_panes(spark, tmp_path):
         (1, 1, "a"): (1.0, 1), (1, 2, "a"): (6.0, 2), (1, 4, "b"): (8.0, 1), (3, 1, "a"): (7.0, 3), (3, 2, "a"): (6.0, 2),
         (3, 2, "b"): (8.0, 1), (3, 3, "b"): (8.0, 1), (3, 4, "b"): (8.0, 1),
     }
+
+
+def test_files_of_one_name_are_moved_together(spark, tmp_path):
+    paths = []
+    for i in range(40):
+        (tmp_path / "in" / str(i)).mkdir(parents=True)
+        paths.append(str(tmp_path / "in" / str(i) / f"part-{i % 3}.txt"))
+        (tmp_path / "in" / str(i) / f"part-{i % 3}.txt").write_text(str(i))
+    for _ in range(2):  # a repeated batch finds nothing left
+        jobs._move(spark, paths, str(tmp_path / "done"))
+    assert sorted(int(p.read_text()) for p in (tmp_path / "done").iterdir() if p.suffix == ".txt") == list(range(40))
+    assert not list((tmp_path / "in").rglob("*.txt"))
