@@ -34,6 +34,50 @@ def tiles(n_queries: int, n_rows: int, most_bytes: int = 64 << 20) -> Iterator[s
         yield slice(a, min(a + step, n_rows))
 
 
+def nearest(wanted: np.ndarray, rows: np.ndarray, k: int, n_wanted: int = 512, n_rows: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, similarity) of the k most similar rows of every query, in order; of equal rounded
+    similarities the earlier rows. Scores are made in tiles, of which only cells above the k-th best so
+    far are kept. Rows with a NaN are no hits."""
+    whole = np.flatnonzero(~np.isnan(rows).any(axis=1))
+    rows = rows if len(whole) == len(rows) else rows[whole]
+    found = []
+    for a in range(0, len(wanted), n_wanted):
+        asked = wanted[a : a + n_wanted]
+        floor = np.full(len(asked), -np.inf)
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        new, waiting = [], 0
+        for b in range(0, len(rows), n_rows):
+            scores = asked @ rows[b : b + n_rows].T
+            width = scores.shape[1]
+            # a rounded score is above the floor, or in the first tile not below the k-th best
+            least = floor + 4e-7 if b else np.partition(scores, width - k, axis=1)[:, width - k] - 2e-6 if width > k else floor
+            q, r = np.nonzero(scores >= least[:, None])
+            rounded = np.round(scores[q, r], 6)
+            above = rounded > floor[q]
+            new.append((q[above], r[above] + b, rounded[above]))
+            waiting += int(above.sum())
+            if b and waiting < len(asked) * k and b + n_rows < len(rows):
+                continue
+            best, new, waiting = _first_k([best, *new], k), [], 0
+            last = np.flatnonzero(best[3] == k - 1)
+            floor[best[0][last]] = best[2][last]
+            best = best[:3]
+        found.append((best[0] + a, whole[best[1]], best[2]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _first_k(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """(query, row, similarity, place) of the first k rows of every query."""
+    query, row, score = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((row, -score, query))
+    query, row, score = query[order], row[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    keep = place < k
+    return query[keep], row[keep], score[keep], place[keep]
+
+
 class TopK:
     """Running best-k list per query, ordered by rounded similarity, then id."""
 

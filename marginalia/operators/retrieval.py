@@ -18,12 +18,13 @@ from pyspark.sql import types as T
 
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
-from marginalia.functions.vectors import TopK, complete, matrix, tiles
+from marginalia.functions.vectors import TopK, complete, matrix, nearest, tiles
 from marginalia.session import literal_rows, materialize
 
 # the query matrix is shared with every task up to this size; beyond it both sides are blocked
 BROADCAST_BYTES = 64 * 1024 * 1024
 VECTOR_BLOCK_ROWS = 20_000
+SHARED_QUERIES = 4_096  # more questions than that do not have a list of their own in every task
 
 
 # --- lexical --------------------------------------------------------------------------
@@ -342,42 +343,40 @@ def _streamed_topk(chunks, queries, key, query_id, vector, k, schema):
     return chunks.select(key, vector).mapInArrow(scan, schema)
 
 
-def _blocked_topk(chunks, queries, key, query_id, vector, k, schema, block_rows):
+def _blocked_topk(chunks, queries, key, query_id, vector, k, schema, block_rows, dim, n_queries):
     """Large query side: both sides cut into bounded blocks by key hash; a task holds one
     block of each and returns only its k best rows per query."""
+    # k rows a query and block of chunks are shuffled, so these blocks are as large as memory allows
+    wider = min(8, max(1, BROADCAST_BYTES // (8 * max(dim, 1) * VECTOR_BLOCK_ROWS)))
+    n_chunks = max(1, -(-chunks.count() // (block_rows * wider)))
+    enough = -(-2 * chunks.sparkSession.sparkContext.defaultParallelism // n_chunks)  # blocks for all cores
+    n_blocks = max(1, -(-n_queries // block_rows), min(enough, -(-n_queries // 1000)))
 
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // block_rows))
-
-    def block_of(df: DataFrame, name: str, n: int) -> Column:
+    def block_of(name: str, n: int) -> Column:
         return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
 
-    n_chunks, n_queries = blocks(chunks), blocks(queries)
     left = queries.select(
         F.col(query_id),
         F.col(vector).alias("_qv"),
-        block_of(queries, query_id, n_queries).alias("_qb"),
+        block_of(query_id, n_blocks).alias("_qb"),
         F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_cb"),
     )
     right = chunks.select(
         F.col(key),
         F.col(vector).alias("_cv"),
-        block_of(chunks, key, n_chunks).alias("_cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("_qb"),
+        block_of(key, n_chunks).alias("_cb"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_qb"),
     )
     out = _arrow_schema(schema)
 
     def score(query_block: pa.Table, chunk_block: pa.Table) -> pa.Table:
-        ids = np.array(query_block[query_id].to_pylist(), dtype=object)
-        best = TopK(len(ids), k)
-        if len(ids) and chunk_block.num_rows:
-            wanted = matrix(query_block["_qv"].combine_chunks())
-            rows = matrix(chunk_block["_cv"].combine_chunks())
-            keys = np.array(chunk_block[key].to_pylist(), dtype=object)
-            for tile in tiles(len(ids), len(keys)):
-                best.add(np.round(wanted @ rows[tile].T, 6), keys[tile])
-            return pa.Table.from_batches([_emit(best, ids, out)])
-        return out.empty_table()
+        if not query_block.num_rows or not chunk_block.num_rows:
+            return out.empty_table()
+        chunk_block = chunk_block.take(pc.sort_indices(chunk_block, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        wanted = matrix(query_block["_qv"].combine_chunks())
+        rows = matrix(chunk_block["_cv"].combine_chunks())
+        asked, row, similarity = nearest(wanted, rows, k)
+        return pa.Table.from_arrays([query_block[query_id].take(asked), chunk_block[key].take(row), pa.array(similarity)], names=out.names).cast(out)
 
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(score, schema)
 
@@ -404,18 +403,18 @@ def vector_topk(
 ) -> DataFrame:
     """(query, key, similarity, rk): exact cosine top-k, then the similarity gate.
 
-    The query matrix is shared with every task only while its measured size is small;
-    beyond that both sides are joined block by block. Rows without a whole vector of the
+    The query matrix is shared with every task only while its measured size is small, and so are
+    the lists that every task keeps; beyond that both sides are joined block by block. Rows without a whole vector of the
     questions' size take no part; ``incomplete_vectors`` lists them.
     """
     schema = _result_schema(chunks, queries, key, query_id)
     dim = _dimension(queries, vector)
     chunks, queries = chunks.where(complete(vector, dim)), queries.where(complete(vector, dim))
-    cells = queries.count() * dim
-    if cells * 8 <= broadcast_bytes:
+    n_queries = queries.count()
+    if n_queries * dim * 8 <= broadcast_bytes and n_queries <= SHARED_QUERIES:
         hits = _streamed_topk(chunks, queries, key, query_id, vector, k, schema)
     else:
-        hits = _blocked_topk(chunks, queries, key, query_id, vector, k, schema, block_rows)
+        hits = _blocked_topk(chunks, queries, key, query_id, vector, k, schema, block_rows, dim, n_queries)
     ranked = top_k(hits, query_id, [F.desc("similarity"), F.asc(key)], k)
     return ranked if min_similarity is None else ranked.where(F.col("similarity") >= min_similarity)
 

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import constants as K
+from marginalia.functions.vectors import nearest
 from marginalia.operators import evaluate, ranking, retrieval
 
 
@@ -170,3 +172,29 @@ def test_the_index_of_a_batch_has_one_row_a_chunk(spark):
     index = retrieval._counted(corpus, "id", ["body"], ["oak", "yew"], (1,))
     assert {(r.id, r.dl, tuple((f.term, f.tf) for f in r.found)) for r in index.collect()} == {(i, 150, ((0, 100),)) for i in range(20)}
     assert index.count() == 20
+
+
+@pytest.mark.parametrize("k", [1, 7, 50])
+def test_nearest_rows_by_tiles(k):
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-1, 2, (300, 4)).astype(float)  # many equal similarities
+    rows[11] = np.nan
+    wanted = rng.integers(-1, 2, (40, 4)).astype(float)
+    want = []
+    for q, asked in enumerate(wanted):
+        scores = sorted((-round(float(asked @ row), 6), r) for r, row in enumerate(rows) if r != 11)[:k]
+        want += [(q, r, -s) for s, r in scores]
+    for tile in ((512, 4096), (16, 64), (7, 5), (1, 1)):
+        assert list(zip(*(c.tolist() for c in nearest(wanted, rows, k, *tile)))) == want
+    assert [len(c) for c in nearest(wanted, rows[:0], k)] == [0, 0, 0]
+
+
+def test_many_questions_have_no_list_in_every_task(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.random() - 0.5 for _ in range(3)]) for i in range(60)], "id long, embedding array<float>")
+    few = retrieval.vector_topk(rows, rows.withColumnRenamed("id", "q"), "id", "q", k=5)
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(retrieval, "SHARED_QUERIES", 10)
+    monkeypatch.setattr(retrieval, "_streamed_topk", None)
+    many = retrieval.vector_topk(rows, rows.withColumnRenamed("id", "q"), "id", "q", k=5)
+    assert sorted(map(tuple, many.collect())) == want
