@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marginalia.session import materialize
+
 
 def per_query(queries: DataFrame, expected: DataFrame, retrieved: DataFrame, query_id: str, note: str) -> DataFrame:
     """Metrics for every query.
@@ -91,6 +93,7 @@ def passage_matches(
         none = T.StructType([passages.schema[passage_id], documents.schema[doc_id]])
         return documents.sparkSession.createDataFrame([], none)
     pairs = reduce(DataFrame.unionByName, [m.select(passage_id, passage, doc_id) for m in met]).distinct()
+    pairs = materialize(pairs, "met")  # few pairs need no shuffle of all texts
     return (
         pairs.join(documents.select(doc_id, text), doc_id)
         .where(F.contains(F.col(text), F.col(passage)))

@@ -89,7 +89,8 @@ def citations(ranked: DataFrame, chunks: DataFrame, query_id: str, key: str) ->
     """Ranked chunks with their payload and a 200-character snippet. A chunk that is no longer
     stored has no payload and is left out."""
     payload = chunks.select(key, "note_path", "note_title", "heading_path", "chunk_text")
-    return ranked.join(payload, key).select(
+    # written down, so that its size is known and few ranked rows do not have all texts shuffled
+    return materialize(ranked, "ranked").join(payload, key).select(
         query_id,
         key,
         "rk",

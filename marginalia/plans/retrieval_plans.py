@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as X
 from marginalia.operators import clusters, evaluate, ranking, retrieval
 from marginalia.plans.registry import Tables, query
-from marginalia.session import shared_dir
+from marginalia.session import materialize, shared_dir
 from marginalia.sources import tables
 
 FIELDS = ["doc_id", "source", "lang", "text"]
@@ -226,7 +226,7 @@ def citations(t: Tables) -> DataFrame:
     FROM top5 JOIN documents d USING (doc_id) GROUP BY item_id""",
 )
 def render_context(t: Tables) -> DataFrame:
-    top = ranking.rerank(scored_hits(t), "item_id", "doc_id").join(chunk_rows(t), "doc_id")
+    top = materialize(ranking.rerank(scored_hits(t), "item_id", "doc_id"), "ranked").join(chunk_rows(t), "doc_id")
     top = top.withColumn("note_folder", X.folder_of_path(F.col("note_path"))).withColumn(
         "note_date", F.lit(None).cast("string")
     )
@@ -310,7 +310,7 @@ def capture_connections(t: Tables) -> DataFrame:
     notes = ranking.best_chunk_per_note(
         hybrid_hits(t).withColumn("note", F.col("doc_id")), "item_id", "note", "rrf", "doc_id"
     )
-    top = retrieval.top_k(notes, "item_id", [F.desc("rrf"), F.asc("doc_id")], 5)
+    top = materialize(retrieval.top_k(notes, "item_id", [F.desc("rrf"), F.asc("doc_id")], 5), "ranked")
     summaries = t.labels.where("quality = 1").select(
         "doc_id", F.concat(F.lit("Summary of "), "doc_id").alias("summary")
     )

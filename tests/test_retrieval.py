@@ -198,3 +198,27 @@ def test_many_questions_have_no_list_in_every_task(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_streamed_topk", None)
     many = retrieval.vector_topk(rows, rows.withColumnRenamed("id", "q"), "id", "q", k=5)
     assert sorted(map(tuple, many.collect())) == want
+
+
+def test_few_rows_do_not_shuffle_all_texts(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(400)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(10**6)))))
+        spark.range(300).select(
+            F.col("id").alias("doc"), F.lit("a.md").alias("note_path"), F.lit("A").alias("note_title"), F.array(F.lit("H")).alias("heading_path"), text.alias("chunk_text")
+        ).write.parquet(str(tmp_path / "chunks"))
+        chunks = spark.read.parquet(str(tmp_path / "chunks"))
+        many = spark.range(100_000).where("id < 3")  # looks large before it is counted
+        ranked = many.select(F.lit(1).alias("q"), F.col("id").alias("doc"), F.lit(1).alias("rk"), F.lit(0.5).alias("similarity"), F.lit(0.5).alias("rerank_score"))
+        asked = chunks.where("doc < 2").select("doc", F.array_join(F.slice(F.split("chunk_text", " "), 5, 12), " ").alias("passage"))
+        asked = asked.join(many, asked.doc == many.id, "left").select(F.col("doc").alias("q"), "passage")
+        cited = ranking.citations(ranked, chunks, "q", "doc")
+        found = evaluate.passage_matches(asked, chunks, "q", "passage", "doc", "chunk_text")
+        for rows in (cited, found):
+            last = rows._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in last and "SortMergeJoin" not in last
+        assert sorted(r.doc for r in cited.collect()) == [0, 1, 2]
+        assert {(0, 0), (1, 1)} <= set(map(tuple, found.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
