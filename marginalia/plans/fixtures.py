@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from marginalia.plans.registry import Tables
 
+# notes made of short rows that a task renders and parses; a split of the table may hold millions
+NOTES_PER_TASK = 50_000
+
 
 def cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -75,7 +78,7 @@ def order_notes(t: Tables, orders: DataFrame | None = None) -> DataFrame:
         " write a line here, with the reason and with the name of the person spoken to.",
     )
     content = cat("# Order ", k, "\n", long_a, "\n\n## Short\nToo short to keep.\n\n### Status\n", long_b, "\n")
-    return (t.spread("orders") if orders is None else orders).select(
+    return (t.spread("orders", NOTES_PER_TASK) if orders is None else orders).select(
         "o_orderkey", cat("orders/", k, ".md").alias("note_path"), content.alias("content")
     )
 
@@ -101,7 +104,7 @@ def daily_md(t: Tables) -> DataFrame:
         iso(F.date_add(day, 3)), ")\n- 14:05 - Review ", c, "\n## Tasks\n- [ ] Second section ", k,
         "\n## Focus\n- Repeat focus\n",
     )
-    return t.spread("orders").select(
+    return t.spread("orders", NOTES_PER_TASK).select(
         "o_orderkey", cat("v", k, "/00_Daily/", iso(day), ".md").alias("note_path"), content.alias("content")
     )
 

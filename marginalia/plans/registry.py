@@ -23,12 +23,14 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
+    def spread(self, name: str, rows_per_task: int | None = None) -> DataFrame:
         """A text table for CPU-heavy parsing. A table stored as fewer splits than there are
-        cores is dealt out over the cores; a large one is read as it lies."""
+        cores is dealt out over the cores; a large one is read as it lies, or, where its rows are short
+        but costly, dealt out in tasks of at most about ``rows_per_task`` rows."""
         df = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        tasks = -(-df.count() // rows_per_task) if rows_per_task else 0
+        return df.repartition(max(tasks, cores)) if tasks or df.rdd.getNumPartitions() < cores else df
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

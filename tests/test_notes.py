@@ -6,6 +6,7 @@ from marginalia.functions import constants as K
 from marginalia.functions import text as X
 from marginalia.functions.splitting import pieces, windows
 from marginalia.operators import changes, notes
+from marginalia.plans.registry import Tables
 from marginalia.sources import notes as files
 
 
@@ -182,3 +183,10 @@ def test_a_listing_is_not_a_task_per_folder(spark, tmp_path):
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert sizes and max(sizes) <= 128
     assert found.select("note_path").distinct().count() == 200
+
+
+def test_short_rows_are_dealt_out(spark, tmp_path):
+    for i, n in enumerate([900] + [1] * 9):  # one split holds nearly all rows
+        spark.range(i * 1000, i * 1000 + n).coalesce(1).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    sizes = [len(p) for p in Tables(spark, str(tmp_path)).spread("orders", 50).rdd.glom().collect()]
+    assert sum(sizes) == 909 and max(sizes) <= 100
