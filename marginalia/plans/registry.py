@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.session import configure
+from marginalia.session import configure, deal
 
 QueryFn = Callable[["Tables"], DataFrame]
 
@@ -30,7 +30,7 @@ class Tables:
         df = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
         tasks = -(-df.count() // rows_per_task) if rows_per_task else 0
-        return df.repartition(max(tasks, cores)) if tasks or df.rdd.getNumPartitions() < cores else df
+        return deal(df, max(tasks, cores)) if tasks or df.rdd.getNumPartitions() < cores else df
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

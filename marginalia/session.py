@@ -75,6 +75,14 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def deal(df: DataFrame, tasks: int) -> DataFrame:
+    """The rows over so many tasks, by a hash of their running number: keys may repeat or be null, and
+    dealing in turn would first sort the rows of a task in memory, whole texts included."""
+    from pyspark.sql import functions as F
+
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition(tasks, "_row").drop("_row")
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: list[str]) -> DataFrame:
     """A few constant rows as part of the plan, so that Spark knows how small they are."""
     from pyspark.sql import functions as F

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from marginalia.functions import constants as K
 from marginalia.functions.vectors import nearest
 from marginalia.operators import evaluate, ranking, retrieval
+from marginalia.plans.registry import Tables
+from marginalia.session import deal
 
 
 def bm25(spark, docs, question, k=10):
@@ -222,3 +224,18 @@ def test_few_rows_do_not_shuffle_all_texts(spark, tmp_path):
         assert {(0, 0), (1, 1)} <= set(map(tuple, found.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_dealt_rows_are_not_sorted_and_need_no_key(spark):
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    dealt = deal(rows.coalesce(1), 8)
+    assert dealt.columns == ["doc_id", "text"]
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert sum(sizes) == 400 and len(sizes) == 8 and max(sizes) <= 100
+
+
+def test_few_splits_of_texts_are_dealt_without_sorting_them(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    dealt = Tables(spark, str(tmp_path)).spread("documents")
+    assert "RoundRobin" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.doc_id for r in dealt.collect()) == list(range(400))
