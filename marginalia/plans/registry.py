@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.session import configure, deal
 
 QueryFn = Callable[["Tables"], DataFrame]
 
+MOST_ROWS = 100_000  # texts that one task reads where they lie
+DEALT_ROWS = 10_000  # texts a task where they are dealt out, while that gives
+DEALT_TASKS = 200  # tasks at most: to so many Spark writes rows straight to files, to more it gathers them in memory first
+
 
 class Tables:
     """Lazy access to the parquet tables of one scale-factor folder."""
@@ -24,13 +29,21 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str, rows_per_task: int | None = None) -> DataFrame:
-        """A text table for CPU-heavy parsing. A table stored as fewer splits than there are
-        cores is dealt out over the cores; a large one is read as it lies, or, where its rows are short
-        but costly, dealt out in tasks of at most about ``rows_per_task`` rows."""
+        """A text table for CPU-heavy parsing. A table whose rows lie in fewer pieces than there are
+        cores, or in a piece of more than ``MOST_ROWS``, is dealt out; others are read as they lie.
+        Where its rows are short but costly, it is dealt out in tasks of at most about
+        ``rows_per_task`` rows. The pieces that hold rows are counted, from the files' footers:
+        a row group is read whole by one split, so splits may be many and all but one empty."""
         df = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        tasks = -(-df.count() // rows_per_task) if rows_per_task else 0
-        return deal(df, max(tasks, cores)) if tasks or df.rdd.getNumPartitions() < cores else df
+        pieces = df.groupBy(F.spark_partition_id().alias("piece")).agg(F.count(F.lit(1)).alias("n"))
+        found = pieces.agg(F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+        rows = found["rows"] or 0
+        if rows_per_task:
+            return deal(df, max(-(-rows // rows_per_task), cores))
+        if found["pieces"] >= cores and found["most"] <= MOST_ROWS:
+            return df
+        return deal(df, max(min(-(-rows // DEALT_ROWS), DEALT_TASKS), cores))
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -239,3 +239,16 @@ def test_few_splits_of_texts_are_dealt_without_sorting_them(spark, tmp_path):
     dealt = Tables(spark, str(tmp_path)).spread("documents")
     assert "RoundRobin" not in dealt._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in dealt.collect()) == list(range(400))
+
+
+def test_one_row_group_is_dealt_out_however_many_its_splits(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        tables = Tables(spark, str(tmp_path))
+        assert tables.documents.rdd.getNumPartitions() > 8  # all but one are empty
+        sizes = [len(p) for p in tables.spread("documents").rdd.glom().collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 1000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
