@@ -134,3 +134,28 @@ def test_postings_are_made_in_the_row_of_their_chunk(spark):
         ("c0", "a", 1, (1,), 3, 7, 3), ("c0", "b", 2, (0, 2), 3, 7, 3), ("c2", "a", 1, (0,), 1, 7, 3),
         *[(f"c{i}", stored_index._CHUNK, 0, (), len(w), 7, 3) for i, w in enumerate(words)],
     }
+
+
+def test_a_posting_row_holds_a_block_and_groups_of_questions_give_the_same_rows(spark, store):
+    rng = random.Random(5)
+    texts = {f"n/{i:03d}.md": ("common " + body(rng), 1) for i in range(100)}
+    indexing.commit_run(store, notes_frame(spark, texts), "run-0")
+    rows = store.read("postings").where("term = 'common'").agg(F.sum("n"), F.count(F.lit(1)), F.count_distinct("block")).first()
+    blocks = store.read("lengths").agg(F.count_distinct("block")).first()[0]
+    assert tuple(rows) == (100, blocks, blocks) and blocks < 20
+    assert store.read("lengths").where("slot IS NULL").count() == 0
+    questions = spark.createDataFrame([(i, f"common {w} beta-gamma") for i, w in enumerate(WORDS)], "q long, question string")
+    hits = lambda **kw: sorted(map(tuple, stored_index.topk(store, questions, "q", "question", k=4, **kw).hits.collect()))
+    assert hits() == hits(shared_bytes=700) and len(hits()) == 4 * len(WORDS)
+
+
+def test_words_of_equal_chunks_of_a_block_are_added_up(spark):
+    words = [[(0, "b"), (1, "a")], [(0, "b"), (1, "a")], [(300, "a")]]
+    rows = [("c", "n", 7, 2, words[0]), ("c", "n", 7, 2, words[1]), ("d", None, 8, 1, words[2])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, note_path string, block long, dl long, words array<struct<pos:int,term:string>>").coalesce(1)
+    made = stored_index._packed(chunks).collect()
+    got = {(r.term, r.block, r.n, r.max_tf, r.min_dl, bytes(r.slots), bytes(r.tf)) for r in made if r.term != stored_index._CHUNK}
+    assert {g[:6] for g in got} == {("a", 7, 1, 2, 2, b"\0"), ("b", 7, 1, 2, 2, b"\0"), ("a", 8, 1, 1, 1, b"\0")}
+    assert sorted((r.chunk_id, r.block, r.dl, -1 if r.slot is None else r.slot) for r in made if r.term == stored_index._CHUNK) == [
+        ("c", 7, 2, -1), ("c", 7, 2, 0), ("d", 8, 1, 0)
+    ]
