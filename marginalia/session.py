@@ -67,12 +67,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
+def materialize(df: DataFrame, purpose: str, session: SparkSession | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back, in another session if one is given: cuts
+    lineage, survives executors."""
+    path = shared_dir(df.sparkSession, purpose)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 def deal(df: DataFrame, tasks: int) -> DataFrame:

@@ -199,3 +199,21 @@ def test_files_of_one_name_are_moved_together(spark, tmp_path):
         jobs._move(spark, paths, str(tmp_path / "done"))
     assert sorted(int(p.read_text()) for p in (tmp_path / "done").iterdir() if p.suffix == ".txt") == list(range(40))
     assert not list((tmp_path / "in").rglob("*.txt"))
+
+
+def test_a_batch_of_notes_is_committed_in_the_session_of_the_store(spark, tmp_path, monkeypatch):
+    """The session of a stream plans without looking at sizes."""
+    folder = str(tmp_path / "notes")
+    spark.createDataFrame([("a.md", "# A\n" + "word " * 30, 1, False)], "note_path string, content string, mtime int, deleted boolean").write.parquet(folder)
+    schema = spark.read.parquet(folder).schema
+    sessions, commit = [], jobs.indexing.commit_run
+
+    def seen(store, files, *args, **kw):
+        sessions.extend([files.sparkSession, kw["touched"].sparkSession])
+        return commit(store, files, *args, **kw)
+
+    monkeypatch.setattr(jobs.indexing, "commit_run", seen)
+    store = Store(spark, str(tmp_path / "index"), indexing.tables("int", buckets=2))
+    jobs.ingest_notes(jobs.source(spark, folder, schema), store, at=str(tmp_path / "at"))
+    assert store.read("chunks").count() == 1
+    assert len(sessions) == 2 and all(s._jsparkSession.equals(spark._jsparkSession) for s in sessions)
