@@ -249,9 +249,8 @@ def source_scan(t: Tables) -> DataFrame:
     """Pages written as one file each, then scanned, fingerprinted and read back."""
     root = shared_dir(t.spark, "scan")
     page = F.col("page_id")
-    t.spread("pages").select((page % 5).alias("site"), page.alias("page"), F.col("html").alias("value")).write.partitionBy(
-        "site", "page"
-    ).text(root)
+    pages = t.spread("pages").select((page % 5).alias("site"), page.alias("page"), F.col("html").alias("value"))
+    files.write_texts(pages, root, "site", "page")
     found = files.scan(t.spark, root, "*.txt", excludes=["site=3/*"])
     return found.where(F.is_valid_utf8("content")).select(
         F.regexp_replace("note_path", "/[^/]*$", "").alias("note_dir"),

@@ -190,3 +190,21 @@ def test_short_rows_are_dealt_out(spark, tmp_path):
         spark.range(i * 1000, i * 1000 + n).coalesce(1).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
     sizes = [len(p) for p in Tables(spark, str(tmp_path)).spread("orders", 50).rdd.glom().collect()]
     assert sum(sizes) == 909 and max(sizes) <= 100
+
+
+def test_one_row_files_lie_and_read_as_a_partitioned_write_puts_them(spark, tmp_path, monkeypatch):
+    rows = [(1, "a/b=c d", "x\ny"), (1, "a/b=c d", "again"), (2, None, "z"), (2, "", None), (3, "é", "ü")]
+    frame = spark.createDataFrame(rows, "k long, name string, value string").coalesce(1)
+    frame.write.partitionBy("k", "name").text(str(tmp_path / "spark"))
+    files.write_texts(frame, str(tmp_path / "own"), "k", "name")
+    read = lambda root: sorted((str(p.parent.relative_to(root)), p.read_bytes()) for p in root.rglob("*.txt"))
+    assert read(tmp_path / "own") == read(tmp_path / "spark") and len(read(tmp_path / "own")) == 3
+    assert not list((tmp_path / "own").rglob(".part*"))  # no checksum file, nothing half written
+    assert files.scan(spark, str(tmp_path / "own"), "*.txt").count() == 3
+
+
+def test_a_folder_of_many_small_files_is_read_in_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "SCAN_TASKS", 2)
+    files.write_texts(spark.range(600).selectExpr("id AS k", "'x' AS value"), str(tmp_path / "f"), "k")
+    found = files.scan(spark, str(tmp_path / "f"), "*.txt")
+    assert found.rdd.getNumPartitions() <= 8 and found.agg(F.sum("length")).first()[0] == 1200
