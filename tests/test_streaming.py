@@ -217,3 +217,31 @@ def test_a_batch_of_notes_is_committed_in_the_session_of_the_store(spark, tmp_pa
     jobs.ingest_notes(jobs.source(spark, folder, schema), store, at=str(tmp_path / "at"))
     assert store.read("chunks").count() == 1
     assert len(sessions) == 2 and all(s._jsparkSession.equals(spark._jsparkSession) for s in sessions)
+
+
+def test_an_inbox_batch_reads_its_files_once_and_takes_few_jobs(spark, tmp_path):
+    for i in range(9):
+        place = tmp_path / "in" / str(i)
+        place.mkdir(parents=True)
+        (place / "same.json").write_text("no object" if i == 4 else f'{{"summary": "s{i}"}}')
+    count = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = count()
+    good, bad = jobs.inbox_files(spark, str(tmp_path / "in" / "*"), str(tmp_path / "done"), str(tmp_path / "failed"), files_per_batch=3, at=str(tmp_path / "at"))
+    assert count() - before <= 3 * 4 + 1
+    assert sorted(r.summary for r in good.collect()) == [f"s{i}" for i in range(9) if i != 4] and bad.count() == 1
+    assert len(list((tmp_path / "done").glob("*same.json"))) == 8 and len(list((tmp_path / "failed").glob("*same.json"))) == 1
+    assert not list((tmp_path / "in").glob("*/*.json"))
+
+
+def test_a_local_file_is_moved_with_its_checksum_and_never_over_another(tmp_path):
+    (tmp_path / "to").mkdir()
+    for i in range(2):
+        (tmp_path / f"in {i}").mkdir()
+        (tmp_path / f"in {i}" / "a.json").write_text(str(i))
+        (tmp_path / f"in {i}" / ".a.json.crc").write_text(f"sum {i}")
+    paths = [f"file:{tmp_path}/in {i}/a.json" for i in range(2)]
+    jobs._move_local(paths, str(tmp_path / "to"))
+    jobs._move_local(paths, str(tmp_path / "to"))  # a batch that is repeated
+    found = {p.name: p.read_text() for p in (tmp_path / "to").iterdir()}
+    other = jobs._other_name(paths[1], "a.json")
+    assert found == {"a.json": "0", ".a.json.crc": "sum 0", other: "1", f".{other}.crc": "sum 1"}
