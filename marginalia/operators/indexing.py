@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as X
 from marginalia.operators import changes, notes, stored_index
-from marginalia.session import materialize
+from marginalia.session import materialize, scratch
 from marginalia.sources.versions import Append, Replace, Store, Table, Version
 
 
@@ -91,6 +91,14 @@ def commit_run(
     base = store.current()
     if mark and base.marks.get(mark[0], -1) >= mark[1]:
         return base
+    with scratch(store.spark):
+        return _commit(store, base, files, run, embed, full, touched, mark)
+
+
+def _commit(
+    store: Store, base: Version, files: DataFrame, run: str, embed: Callable[[Column], Column] | None, full: bool,
+    touched: DataFrame | None, mark: tuple[str, int] | None,
+) -> Version:
     tracker = store.read("tracker", version=base) if touched is None else store.lookup("tracker", touched, base)
     current = files.select("note_path", "mtime", F.sha1(F.col("content").cast("binary")).alias("hash"))
     found = changes.classify(current, tracker)

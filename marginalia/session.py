@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -67,10 +70,42 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that a query reads as it starts."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+_scratch = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """For work whose result is stored elsewhere when it ends: the tables that this thread materializes
+    meanwhile go then, and files of a shuffle as soon as its query is done."""
+    outer, _scratch.paths = getattr(_scratch, "paths", None), []
+    try:
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            yield
+    finally:
+        paths, _scratch.paths = _scratch.paths, outer
+        conf = spark._jsparkSession.sessionState().newHadoopConf()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def materialize(df: DataFrame, purpose: str, session: SparkSession | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back, in another session if one is given: cuts
     lineage, survives executors."""
     path = shared_dir(df.sparkSession, purpose)
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return (session or df.sparkSession).read.schema(df.schema).parquet(path)
 

@@ -13,7 +13,6 @@ import os
 import shutil
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 from marginalia.functions import constants as K
 from marginalia.functions import text as X
 from marginalia.operators import changes, indexing, responses
-from marginalia.session import materialize, shared_dir
+from marginalia.session import materialize, scratch, setting, shared_dir
 from marginalia.sources.versions import Store, Version
 from marginalia.streaming.state import KeepNewest
 
@@ -97,17 +96,6 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    """A session setting that a query reads as it starts."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _batch_path(root: str, number: int) -> str:
     return f"{root}/batch={number}"
 
@@ -229,7 +217,7 @@ def keep_last(
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(root, number))
 
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKS):
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", _ROCKS):
         run_batches(kept, write, checkpoint, "update")
     emitted = stored(spark, T.StructType([*schema.fields, T.StructField("batch", T.LongType())]), root, root)
     last = emitted.groupBy("conversation_id").agg(F.max("batch").alias("batch"))
@@ -278,9 +266,10 @@ def ingest_notes(files: DataFrame, store: Store, name: str = "ingest", embed=Non
 
     def apply(batch: DataFrame, number: int) -> None:
         latest = F.max_by(F.struct("content", "deleted", "mtime"), F.struct("mtime", "deleted")).alias("_v")
-        states = materialize(batch.groupBy("note_path").agg(latest).select("note_path", "_v.*"), "touched-notes", store.spark)
-        present = states.where(~F.col("deleted")).select("note_path", "content", "mtime")
-        indexing.commit_run(store, present, f"batch-{number}", embed, touched=states.select("note_path"), mark=(name, number))
+        with scratch(store.spark):
+            states = materialize(batch.groupBy("note_path").agg(latest).select("note_path", "_v.*"), "touched-notes", store.spark)
+            present = states.where(~F.col("deleted")).select("note_path", "content", "mtime")
+            indexing.commit_run(store, present, f"batch-{number}", embed, touched=states.select("note_path"), mark=(name, number))
 
     run_batches(files, apply, checkpoint)
     return store.current()
@@ -345,7 +334,7 @@ def inbox_files(
             _move(spark, [row["path"] for row in found if row["to"] == to], to)
 
     # every tenth batch would write down all files so far once more
-    with _setting(spark, "spark.sql.streaming.fileSource.log.compactInterval", "100"):
+    with setting(spark, "spark.sql.streaming.fileSource.log.compactInterval", "100"):
         run_batches(replies, handle, checkpoint)
     good = stored(spark, "path string, name string, summary string, key_phrases array<string>, batch long", f"{root}/processed")
     bad = stored(spark, "path string, name string, reason string, batch long", f"{root}/failed")

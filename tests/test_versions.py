@@ -159,3 +159,15 @@ def test_words_of_equal_chunks_of_a_block_are_added_up(spark):
     assert sorted((r.chunk_id, r.block, r.dl, -1 if r.slot is None else r.slot) for r in made if r.term == stored_index._CHUNK) == [
         ("c", 7, 2, -1), ("c", 7, 2, 0), ("d", 8, 1, 0)
     ]
+
+
+def test_a_commit_leaves_nothing_but_the_store_behind(spark, store, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr("marginalia.session.shared_dir", lambda _, purpose: made.append(str(tmp_path / f"{purpose}-{len(made)}")) or made[-1])
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    for run in range(2):
+        indexing.commit_run(store, notes_frame(spark, {f"n/{i}.md": (body(random.Random(i + run)), run) for i in range(5)}), f"run-{run}", embed)
+    assert store.read("chunks").count() == store.read("vectors").count() == 5
+    assert len(made) >= 6 and not [p for p in made if os.path.exists(p)]
+    assert spark.conf.get(cleanup) == before
