@@ -202,7 +202,7 @@ def test_files_of_one_name_are_moved_together(spark, tmp_path):
 
 
 def test_a_batch_of_notes_is_committed_in_the_session_of_the_store(spark, tmp_path, monkeypatch):
-    """The session of a stream plans without looking at sizes."""
+    """Settings that a commit makes hold there, not in the session of the stream."""
     folder = str(tmp_path / "notes")
     spark.createDataFrame([("a.md", "# A\n" + "word " * 30, 1, False)], "note_path string, content string, mtime int, deleted boolean").write.parquet(folder)
     schema = spark.read.parquet(folder).schema
